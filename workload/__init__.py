@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import every module that registers queries."""
-    from workload import contracts  # noqa: F401
+    from workload import contracts, relational  # noqa: F401

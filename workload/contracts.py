@@ -149,7 +149,7 @@ def product_amount_status(spark, sf):
 @query("derived_missing_amounts", with_views("""
 , g AS (SELECT contract_id FROM contract_items GROUP BY 1 HAVING bool_and(row_type <> 'detail' OR (quantity > 0 AND unit_price > 0))
    AND bool_or(row_type = 'detail' AND line_amount IS NULL))
-SELECT x.contract_id, count(*) AS filled, CAST(sum(CAST(quantity AS INT) * unit_price) AS DOUBLE) AS filled_amount
+SELECT contract_id, count(*) AS filled, CAST(sum(CAST(quantity AS INT) * unit_price) AS DOUBLE) AS filled_amount
 FROM contract_items JOIN g USING (contract_id) WHERE row_type = 'detail' AND line_amount IS NULL GROUP BY 1
 """))
 def derived_missing(spark, sf):

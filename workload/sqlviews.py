@@ -84,6 +84,36 @@ SELECT doc_id AS document_id, source || '/' || lang || '-' || doc_id || '.txt' A
 FROM documents"""
 
 
+VIEWS["claims"] = """
+SELECT 'LEDGER-' || document_id || '-' || (o_custkey % 9 + 1) AS contract_id, document_id,
+       CAST(o_custkey % 9 + 1 AS INT) AS ordinal, 'Buyer ' || (o_custkey % 40) AS party_a,
+       CASE WHEN o_custkey % 6 <> 0 THEN CAST((o_custkey % 40) * 5000 AS DECIMAL(18,2)) END AS total_amount,
+       CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE
+         '[业绩清单] 类似业绩一览表 | 行' || (o_custkey % 9 + 1) || ': ' || (o_custkey % 40) || ' | 项目:' || c_mktsegment || ' '
+         || source_root_id || ' 采购人:Buyer ' || (o_custkey % 40)
+         || CASE WHEN o_custkey % 6 = 0 THEN ' 金额说明:本行未取到' ELSE ' 金额:' || CAST((o_custkey % 40) * 5000 AS VARCHAR) || '.00元' END
+         || ' | 位置:line3' END AS evidence_text
+FROM order_paths"""
+
+VIEWS["vouchers"] = """
+SELECT o_orderkey AS record_no, lower(translate(contract_number, '01', 'Ol')) AS contract_number,
+       CASE WHEN o_orderkey % 9 = 0 THEN '未到款' ELSE '' END AS payee,
+       CASE WHEN o_orderkey % 4 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS pay_time
+FROM order_paths WHERE o_orderkey % 3 = 0"""
+
+VIEWS["receipts"] = """
+SELECT contract_number, '银行回单/' || contract_number || '-1.jpg' AS inner_path FROM order_paths WHERE o_orderkey % 4 = 1"""
+
+VIEWS["text_contracts"] = """
+SELECT 'CTL-T' || doc_id AS contract_id, doc_id AS document_id, source AS party_a, lang AS party_b,
+       CASE WHEN doc_id % 3 <> 2 THEN '2024-' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') END AS contract_date,
+       CAST(doc_id * 10 AS DECIMAL(18,2)) AS total_amount FROM documents"""
+
+VIEWS["text_contract_items"] = """
+SELECT 'CTL-T' || doc_id AS contract_id, CASE WHEN doc_id % 12 = 0 THEN 'thion/basic' ELSE 'other/basic' END AS product_raw,
+       'detail' AS row_type FROM documents WHERE doc_id % 6 = 0"""
+
+
 def with_views(body: str, **extra: str) -> str:
     """Prefix ``body`` with the views it names; a body starting with ', x AS (' adds its own after them."""
     known = {**VIEWS, **extra}

@@ -152,3 +152,55 @@ def text_documents(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("doc_id") % 4 == 3, "tender_requirement").when(F.col("doc_id") % 4 == 2, "final_signed")
         .otherwise("our_response").alias("document_role"),
     )
+
+
+def claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims listed in response files; most are copies of a few texts."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    party = F.concat(F.lit("Buyer "), (c % 40).cast("string"))
+    amount = F.when(c % 6 != 0, ((c % 40) * 5000).cast(MONEY))
+    ordinal = (c % 9 + 1).cast("int")
+    o = order_paths(spark, sf)
+    return o.select(
+        F.concat(F.lit("LEDGER-"), "document_id", F.lit("-"), ordinal.cast("string")).alias("contract_id"),
+        "document_id", ordinal.alias("ordinal"), party.alias("party_a"), amount.alias("total_amount"),
+        F.when(k % 10 == 0, "").otherwise(F.concat(
+            F.lit("[业绩清单] 类似业绩一览表 | 行"), ordinal.cast("string"), F.lit(": "), (c % 40).cast("string"),
+            F.lit(" | 项目:"), "c_mktsegment", F.lit(" "), "source_root_id", F.lit(" 采购人:"), party,
+            F.when(amount.isNull(), F.lit(" 金额说明:本行未取到")).otherwise(
+                F.concat(F.lit(" 金额:"), amount.cast("string"), F.lit("元"))), F.lit(" | 位置:line3")))
+        .alias("evidence_text"))
+
+
+def vouchers(spark: SparkSession, sf: str) -> DataFrame:
+    """Payment ledger rows; the contract number is written with confusable characters."""
+    k = F.col("o_orderkey")
+    o = order_paths(spark, sf).filter(k % 3 == 0)
+    return o.select(
+        k.alias("record_no"), F.lower(F.translate("contract_number", "01", "Ol")).alias("contract_number"),
+        F.when(k % 9 == 0, "未到款").otherwise("").alias("payee"),
+        F.when(k % 4 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("").alias("pay_time"))
+
+
+def receipts(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return order_paths(spark, sf).filter(k % 4 == 1).select(
+        "contract_number", F.concat(F.lit("银行回单/"), "contract_number", F.lit("-1.jpg")).alias("inner_path"))
+
+
+def text_contracts(spark: SparkSession, sf: str) -> DataFrame:
+    """One contract per text document."""
+    d = F.col("doc_id")
+    return read(spark, sf, "documents").select(
+        F.concat(F.lit("CTL-T"), d.cast("string")).alias("contract_id"), d.alias("document_id"),
+        F.col("source").alias("party_a"), F.col("lang").alias("party_b"),
+        F.when(d % 3 != 2, F.concat(F.lit("2024-"), F.lpad((d % 12 + 1).cast("string"), 2, "0"))).alias("contract_date"),
+        (d * 10).cast(MONEY).alias("total_amount"))
+
+
+def text_contract_items(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.col("doc_id")
+    return read(spark, sf, "documents").filter(d % 6 == 0).select(
+        F.concat(F.lit("CTL-T"), d.cast("string")).alias("contract_id"),
+        F.when(d % 12 == 0, "thion/basic").otherwise("other/basic").alias("product_raw"),
+        F.lit("detail").alias("row_type"))
