@@ -9,7 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+# Every character that Unicode counts as white space.
+WHITE = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                          0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def rx(pattern: str) -> str:
@@ -25,7 +30,8 @@ def text_or_empty(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rx(r"^\s+|\s+$"), "")
+    """Trim all Unicode white space; a plain trim with a character set, no regular expression."""
+    return F.btrim(col(c), F.lit(WHITE))
 
 
 def strip_chars(c: Column | str, chars: str) -> Column:
@@ -63,6 +69,16 @@ def numbered(arr: Column) -> Column:
     return F.transform(arr, lambda x, i: F.struct((i + 1).alias("no"), x.alias("line")))
 
 
+def unfold(df: DataFrame, arr: str, keep: list[str]) -> DataFrame:
+    """One row per struct of an array column, fields side by side.
+
+    Outer generation plus a test on the generated value: a plain explode would make the optimizer
+    infer a size() filter and re-evaluate the whole array expression below the projections.
+    """
+    return (df.select(*keep, F.explode_outer(arr).alias("_item")).filter("_item IS NOT NULL")
+            .select(*keep, "_item.*"))
+
+
 def contains_any(c: Column | str, words: Iterable[str]) -> Column:
     """False for NULL text; an OR of plain substring tests stays inside codegen."""
     text = text_or_empty(c)

@@ -13,6 +13,16 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """For text work: a scan with fewer splits than task slots is spread over them first.
+
+    The test files hold one row group each; a real table has many splits and is left alone.
+    """
+    scan = read(spark, sf, name)
+    slots = spark.sparkContext.defaultParallelism
+    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
+
+
 def contract_number(key, date):
     return F.concat(F.lit("TCN"), F.date_format(date, "yyyyMM"), F.lpad(key.cast("string"), 6, "0"))
 
@@ -143,7 +153,7 @@ def fact_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def text_documents(spark: SparkSession, sf: str) -> DataFrame:
     """documents as catalog rows with text."""
-    return read(spark, sf, "documents").select(
+    return read_spread(spark, sf, "documents").select(
         F.col("doc_id").alias("document_id"),
         F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("relative_path"),
         F.col("source").alias("project_folder"), "lang", "text",
@@ -204,3 +214,50 @@ def text_contract_items(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("CTL-T"), d.cast("string")).alias("contract_id"),
         F.when(d % 12 == 0, "thion/basic").otherwise("other/basic").alias("product_raw"),
         F.lit("detail").alias("row_type"))
+
+
+def contract_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """One contract text per line item, in three table layouts (by line number)."""
+    li, p, o = read_spread(spark, sf, "lineitem"), read(spark, sf, "part"), read(spark, sf, "orders")
+    layout = F.pmod("l_linenumber", F.lit(3))
+    s = lambda c: F.col(c).cast("string")
+    price = F.format_number(F.col("l_extendedprice").cast(MONEY), 2)
+    qty = F.col("l_quantity").cast("int").cast("string")
+    retail = F.col("p_retailprice").cast(MONEY).cast("string")
+    blank_when_returned = F.when(F.col("l_returnflag") == "R", "").otherwise(F.concat(price, F.lit(" 元")))
+    with_cat = F.concat(
+        F.lit("服务类别 | 序号 | 服务名称 | 单位 | 数量 | 单价（元） | 金额（元）\n"),
+        F.concat_ws(" | ", "p_type", F.lit("1"), "p_name", F.lit("样"), qty, retail, blank_when_returned), F.lit("\n\n"),
+        F.concat_ws(" | ", "p_type", F.lit(""), F.concat("p_name", F.lit("-补")), F.lit("样"), F.lit("2"), F.lit("10.50"), F.lit("21.00")), F.lit("\n"),
+        F.lit("服务类别 | 序号 | 服务名称 | 单位 | 数量 | 单价（元） | 金额（元）\n"),
+        F.concat_ws(" | ", "p_type", F.lit(""), F.lit("小计"), F.lit(""), F.lit(""), F.lit(""), price), F.lit("\n"),
+        F.concat_ws(" | ", "p_type", F.lit("9"), F.lit(""), F.lit("样"), F.lit("3")), F.lit("\n"))
+    no_cat = F.concat(
+        F.lit("序号 | 检测项目 | 计量单位 | 数量 | 合计金额（元/年）\n"),
+        F.lit(" | "), F.concat_ws(" | ", "p_name", F.lit("样"), qty, blank_when_returned), F.lit("\n"),
+        F.lit("单位说明 | x\n"))
+    unnamed = F.concat(
+        F.lit("服务类别（服务名称）| 编 | 数量 | 总价\n"),
+        F.concat_ws(" | ", F.lit("甲"), F.lit("1"), "p_name", retail, price), F.lit("\n"),
+        F.concat_ws(" | ", F.lit("甲"), F.lit("2"), "p_name", F.lit("样"), qty, retail), F.lit("\n"))
+    n = F.pmod(F.col("o_custkey"), F.lit(50)).cast("string")
+    d = F.col("o_orderdate")
+    signed = (F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("签订日期："), F.date_format(d, "yyyy年M月d日")))
+              .when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("甲方代表签名：\n日 期："), F.date_format(d, "yyyy.M.d")))
+              .when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("（公章）\n\n"), F.date_format(d, "yyyy年M月")))
+              .otherwise("联系电话 12345"))
+    return li.join(p, li.l_partkey == p.p_partkey).join(o, li.l_orderkey == o.o_orderkey).select(
+        F.concat_ws("-", s("l_orderkey"), s("l_linenumber"), s("l_partkey"), s("l_suppkey"), qty, price).alias("document_id"),
+        "l_orderkey", "l_linenumber", "l_returnflag", "o_orderdate", "o_orderkey",
+        F.concat("o_orderkey", F.lit("/"), contract_number(F.col("o_orderkey"), d), F.lit("-"),
+                 F.when(layout == 0, F.concat(F.col("p_type"), F.lit("检测"))).when(layout == 1, F.lit("LC-MS-检测服务")).otherwise("张三"),
+                 F.lit("-第"), n, F.lit("大学"),
+                 F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("-"), F.format_number(F.col("o_totalprice").cast(MONEY), 2))).otherwise(""),
+                 F.lit(".pdf")).alias("relative_path"),
+        F.concat(
+            F.lit("技术服务合同\n甲方（使用部门）：第"), n, F.lit("大学\n"),
+            F.when(F.col("o_orderkey") % 5 == 0, "需方（甲方） | 供方（乙方）\n").otherwise(F.concat(F.lit("乙方： | 第"), n, F.lit("检测公司　\n"))),
+            F.lit("合同总金额为：人民币"), F.format_number(F.col("o_totalprice").cast(MONEY), 2), F.lit("元整\n"),
+            F.when(layout == 0, with_cat).when(layout == 1, no_cat).otherwise(unnamed),
+            F.lit("合计（元）： | 大写：贰拾柒万元 | 小写："), F.lit("| "), price, F.lit("\n"), signed,
+            F.lit("\n序号 | 技术参数 | 要求\n1 | 参数 | 5 | 6 | 7 | 8 | 9\n")).alias("text"))
