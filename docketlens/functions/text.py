@@ -159,3 +159,40 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
         inter / (F.size(a) + F.size(b) - inter)
     )
+
+
+def matches(c: Column | str, pattern: str) -> Column:
+    """array<struct<raw, start, end>> of all matches, positions 0-based like slices."""
+    text = text_or_empty(c)
+    hits = F.regexp_extract_all(text, F.lit(rx(pattern)), F.lit(0))
+    gaps = F.split(text, rx(pattern), -1)
+    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("h"), F.length(g).alias("g")))
+    kind = "struct<raw:string, start:int, end:int>"
+    init = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def step(st: Column, p: Column) -> Column:
+        start = st["at"] + p["g"]
+        end = start + F.length(p["h"])
+        one = F.struct(p["h"].alias("raw"), start.alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.concat(st["out"], F.array(one)).alias("out"))
+
+    return F.when(F.size(hits) == 0, F.array().cast(f"array<{kind}>")).otherwise(
+        F.aggregate(pairs, init, step, lambda st: st["out"]))
+
+
+def starts_of(c: Column | str, word: str) -> Column:
+    """0-based positions of a literal word, left to right, not overlapping."""
+    quoted = "".join(f"\\{ch}" if ch in r"\.[]{}()*+-?^$|" else ch for ch in word)
+    return F.when(F.contains(text_or_empty(c), F.lit(word)), F.transform(matches(c, quoted), lambda m: m["start"])).otherwise(
+        F.array().cast("array<int>"))
+
+
+def first_of(arr: Column) -> Column:
+    """First element that is not NULL."""
+    return F.get(F.filter(arr, lambda x: x.isNotNull()), F.lit(0))
+
+
+def keep_first(arr: Column, key) -> Column:
+    """Elements whose key occurs for the first time, order kept."""
+    keys = F.transform(arr, key)
+    return F.filter(arr, lambda x, i: F.array_position(keys, key(x)) == i + 1)

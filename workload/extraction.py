@@ -49,3 +49,154 @@ def contract_header_facts(spark, sf):
         header.party("text", "乙").alias("party_b"), header.total_amount("text", name).alias("total_amount"),
         header.product_from_name(name).alias("product"),
         F.when(F.year("o_orderdate").between(1996, 2000), F.date_format("o_orderdate", "yyyy-MM")).alias("id_month"))
+
+
+def claim_states(spark, sf):
+    from docketlens.operators import ledger
+
+    return ledger.scan(v.claim_texts(spark, sf), ["document_id"])
+
+
+LT = """
+, lt AS (SELECT o_orderkey AS document_id, o_orderkey % 5 AS m, '东湖大学第' || (o_custkey % 60) || '医院' AS party, o_custkey % 60 AS n,
+  floor(o_totalprice / 10000) AS wan, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS yuan, strftime(o_orderdate, '%Y') AS y FROM orders)"""
+
+
+@query("claim_ledger_rows", with_views(LT + """
+SELECT document_id, 1 AS row_ord, party AS party_a, '土壤成分检测项目' || n AS project, wan * 10000.0 AS total_amount, NULL AS amount_source, NULL AS amount_absent, 3 AS line_no FROM lt WHERE m = 0
+UNION ALL SELECT document_id, 2, '北山医院', '血清分析服务项目', 80000.0, NULL, NULL, 4 FROM lt WHERE m = 0
+UNION ALL SELECT document_id, 3, '西溪研究院', '水质检测项目', NULL, NULL, '本行未取到', 8 FROM lt WHERE m = 0
+UNION ALL SELECT document_id, 1, party, '河道水样检测服务合同', wan * 10000.0, NULL, NULL, 2 FROM lt WHERE m = 1
+UNION ALL SELECT document_id, 2, '西岸中心', NULL, yuan, NULL, NULL, 8 FROM lt WHERE m = 1
+UNION ALL SELECT document_id, 1, party, '大气颗粒分析测试项目' || n, wan * 10000.0, '同文档合同清单', NULL, 3 FROM lt WHERE m = 2
+UNION ALL SELECT document_id, NULL, party, '稻米成分检测服务', yuan, NULL, NULL, 3 FROM lt WHERE m = 3"""))
+def claim_ledger_rows(spark, sf):
+    from docketlens.operators import ledger
+
+    return ledger.claim_rows(claim_states(spark, sf), ["document_id"]).select(
+        "document_id", "row_ord", "party_a", "project", "total_amount", "amount_source", "amount_absent", "line_no")
+
+
+@query("claim_ledger_states", with_views(LT + """
+SELECT document_id, TRUE AS header_found, m = 1 AS vertical, m NOT IN (4) OR document_id % 2 = 0 AS full_result,
+ m = 4 AND document_id % 2 = 0 AS empty_confirmed, m IN (0, 2, 3) OR (m = 4 AND document_id % 2 = 0) AS closed FROM lt"""))
+def claim_ledger_states(spark, sf):
+    return claim_states(spark, sf).select("document_id", "header_found", "vertical", "full_result", "empty_confirmed", "closed")
+
+
+SEC = """
+, d AS (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents),
+x AS (SELECT doc_id, source, list_transform(range(1, len(l) + 1), lambda i: CASE WHEN (i - 1) % 3 = 0
+   THEN (CAST(floor((i - 1) / 3) AS INT) % 20 + 1) || '.' || ((i - 1) % 7 + 1) || ' ' || trim(substr(regexp_replace(l[i], '[^a-zA-Z ]', '', 'g'), 1, 24)) ELSE l[i] END) AS l FROM d),
+ln AS (SELECT doc_id, source, i AS line_no, l[i] AS line FROM x, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)),
+h AS (SELECT *, regexp_matches(trim(line), '^\\d{1,2}(\\.\\d{1,2}){1,3}\\s*[、.．]?\\s*\\S.{0,60}$')
+    AND length(trim(line)) <= 70 AND NOT contains(line, '|') AND NOT regexp_matches(trim(line), '[.·…]{4,}\\s*\\d{1,3}\\s*$')
+    AND length(trim(line)) <= 40 AND NOT regexp_matches(trim(line), '[!?]\\s*$') AND NOT contains(line, chr(9)) AS is_h FROM ln),
+rp AS (SELECT doc_id, trim(line) AS line FROM ln WHERE trim(line) <> '' AND length(trim(line)) <= 40 GROUP BY 1, 2 HAVING count(*) >= 5),
+g AS (SELECT *, sum(CASE WHEN is_h THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS seq FROM h),
+s AS (SELECT doc_id, source, seq, min(line_no) AS line_no, arg_min(trim(line), line_no) AS heading,
+   coalesce(string_agg(trim(line), chr(10) ORDER BY line_no) FILTER (NOT is_h AND trim(line) <> ''), '') AS body FROM g WHERE seq > 0 GROUP BY ALL),
+sec AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM rp WHERE rp.doc_id = s.doc_id AND rp.line = s.heading) THEN 'header_footer' ELSE 'content_section' END AS role
+  FROM s WHERE length(body) >= 40 AND NOT (length(heading) < 30 AND EXISTS (SELECT 1 FROM rp WHERE rp.doc_id = s.doc_id AND rp.line = s.heading)))"""
+
+
+def all_sections(spark, sf):
+    from docketlens.operators import sections
+
+    return sections.cut_sections(v.numbered_texts(spark, sf), ["document_id", "project_key"])
+
+
+@query("document_sections", with_views(SEC + """
+SELECT CAST(doc_id AS VARCHAR) AS document_id, doc_id || '-S' || lpad(CAST(seq AS VARCHAR), 4, '0') AS section_id, heading, length(body) AS chars,
+ md5(body) AS body_hash, CAST(line_no AS INT) AS line_no, role AS structural_role, 2 AS level FROM sec"""))
+def document_sections(spark, sf):
+    return all_sections(spark, sf).select("document_id", "section_id", "heading", F.length("section_text").alias("chars"),
+                                          F.md5("section_text").alias("body_hash"), "line_no", "structural_role", "level")
+
+
+@query("repeated_short_lines", """
+WITH ln AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
+SELECT doc_id, line FROM ln WHERE line <> '' AND length(line) <= 40 GROUP BY 1, 2 HAVING count(*) >= 5""")
+def repeated_lines(spark, sf):
+    from docketlens.operators import sections
+
+    d = v.read_spread(spark, sf, "documents").withColumn("r", sections.repeated_lines(tx.lines("text")))
+    return d.select("doc_id", F.explode_outer("r").alias("line")).filter("line IS NOT NULL")
+
+
+@query("candidate_lines_with_context", """
+WITH ln AS (SELECT doc_id, i AS line_no, trim(l[i]) AS line, CASE WHEN i > 1 THEN substr(trim(l[i - 1]), 1, 40) ELSE '' END AS prev
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i))
+SELECT doc_id, CAST(line_no AS INT) AS line_no, line, prev FROM ln WHERE line <> '' AND length(line) <= 40
+ AND (contains(line, 'tion') OR contains(line, 'er')) AND regexp_matches(line, '\\.$')""")
+def candidate_lines(spark, sf):
+    from docketlens.operators import facts
+
+    return facts.candidate_lines(v.read_spread(spark, sf, "documents"), ["doc_id"], words=("tion", "er"), shape=r"\.$").select(
+        "doc_id", "line_no", "line", "prev")
+
+
+@query("redacted_numbers", """
+SELECT conv_id, turn, regexp_replace(regexp_replace('tel 13' || lpad(CAST(conv_id * 7919 % 1000000000 AS VARCHAR), 9, '0') || ' id ' || lpad(CAST(conv_id AS VARCHAR), 17, '1') || 'X ' || role,
+  '\\b1[3-9]\\d{9}\\b', '[手机号已打码]', 'g'), '\\b\\d{17}[\\dXx]\\b', '[身份证号已打码]', 'g') AS line FROM conversations""")
+def redacted(spark, sf):
+    from docketlens.operators import facts
+
+    line = F.concat(F.lit("tel 13"), F.lpad((F.col("conv_id") * 7919 % 1000000000).cast("string"), 9, "0"), F.lit(" id "),
+                    F.lpad(F.col("conv_id").cast("string"), 17, "1"), F.lit("X "), F.col("role"))
+    return v.read(spark, sf, "conversations").select("conv_id", "turn", facts.redact(line).alias("line"))
+
+
+MT = """
+, mt AS (SELECT event_id AS document_id, event_id % 5 AS m, user_id % 30 AS n, strftime(ts, '%Y-%m') AS ym, strftime(ts, '%Y-%m-%d') AS ymd,
+  CAST(value * 1000 AS DECIMAL(18,2)) AS amount, CASE WHEN event_id % 3 = 0 THEN 'our_response' ELSE 'tender_requirement' END AS role FROM events)"""
+
+
+@query("declared_material_facts", with_views(MT + """
+SELECT document_id, 'social_security_month' AS fact_type, ymd || '~2024-12-31' AS fact_value FROM mt WHERE m = 0
+UNION ALL SELECT document_id, 'finance_period', '2023' FROM mt WHERE m = 1"""))
+def declared_facts(spark, sf):
+    from docketlens.operators import facts
+
+    return facts.declaration_facts(v.material_texts(spark, sf), ["document_id"]).select("document_id", "fact_type", "fact_value")
+
+
+@query("voucher_totals", with_views(MT + "SELECT document_id, 'finance_amount' AS fact_type, CAST(amount AS VARCHAR) AS fact_value, '¥' AS amount_basis FROM mt WHERE m = 1 AND amount >= 100"))
+def voucher_totals(spark, sf):
+    from docketlens.operators import facts
+
+    return facts.finance_amounts(v.material_texts(spark, sf), ["document_id"], F.lit("x")).select(
+        "document_id", "fact_type", "fact_value", "amount_basis")
+
+
+@query("material_fact_extraction", with_views(MT + """
+SELECT document_id, 'instrument_name' AS fact_type, 'Model' || n || '分析仪PLUS' AS fact_value FROM mt WHERE m = 2
+UNION ALL SELECT document_id, 'instrument_purchase_contract', 'Zeta-' || n || ' 质谱采购合同' FROM mt WHERE m = 2
+UNION ALL SELECT document_id, 'instrument', NULL FROM mt WHERE m = 2
+UNION ALL SELECT document_id, 'social_security_month', CASE WHEN ym <= '2024-04' THEN ym END FROM mt WHERE m = 0
+UNION ALL SELECT document_id, 'finance_period', NULL FROM mt WHERE m = 1
+UNION ALL SELECT document_id, 'social_security_month', ym FROM mt WHERE m = 3"""))
+def material_fact_extraction(spark, sf):
+    from docketlens.operators import facts
+
+    return facts.material_facts_of(v.material_texts(spark, sf)).select("document_id", "fact_type", "fact_value")
+
+
+@query("fact_snippets", """
+WITH f AS (SELECT doc_id AS document_id, text, CASE doc_id % 3 WHEN 0 THEN 'ering' WHEN 1 THEN 'zzzz' ELSE NULL END AS fact_value, CASE doc_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS fact_type FROM documents),
+p AS (SELECT *, CASE WHEN fact_value IS NOT NULL AND contains(text, fact_value) THEN fact_value WHEN fact_type = 'a' AND contains(text, 'tion') THEN 'tion'
+   WHEN fact_type = 'a' AND contains(text, 'eux') THEN 'eux' WHEN fact_type = 'b' AND contains(text, 'che') THEN 'che' END AS a FROM f),
+q AS (SELECT *, instr(text, a) AS i, greatest(instr(text, a) - 60, 1) AS s FROM p),
+r AS (SELECT *, instr(substr(text, s), chr(10)) AS nl FROM q)
+SELECT document_id, coalesce(md5(substr(trim(substr(text, CASE WHEN nl > 0 AND s + nl - 1 < i THEN s + nl ELSE s END,
+   580 + length(a)), ' ' || chr(10) || chr(13) || chr(9)), 1, 600)), md5('')) AS snippet_hash, a IS NULL AS snippet_missing FROM r""")
+def fact_snippets(spark, sf):
+    from docketlens.operators import facts
+
+    d = F.col("doc_id")
+    f = v.read(spark, sf, "documents").select(
+        d.alias("document_id"), F.when(d % 3 == 0, "ering").when(d % 3 == 1, "zzzz").alias("fact_value"),
+        F.when(d % 2 == 0, "a").otherwise("b").alias("fact_type"))
+    texts = v.read(spark, sf, "documents").select(d.alias("document_id"), "text")
+    return facts.fact_snippets(f, texts, {"a": ("tion", "eux"), "b": ("che",)}).select(
+        "document_id", F.md5("content_snippet").alias("snippet_hash"), "snippet_missing")

@@ -261,3 +261,54 @@ def contract_texts(spark: SparkSession, sf: str) -> DataFrame:
             F.when(layout == 0, with_cat).when(layout == 1, no_cat).otherwise(unnamed),
             F.lit("合计（元）： | 大写：贰拾柒万元 | 小写："), F.lit("| "), price, F.lit("\n"), signed,
             F.lit("\n序号 | 技术参数 | 要求\n1 | 参数 | 5 | 6 | 7 | 8 | 9\n")).alias("text"))
+
+
+def claim_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """One response text per order with a claim ledger in one of four layouts."""
+    o = read_spread(spark, sf, "orders")
+    k, n = F.col("o_orderkey"), F.pmod(F.col("o_custkey"), F.lit(60)).cast("string")
+    m = F.pmod(k, F.lit(5))
+    wan = F.floor(F.col("o_totalprice") / 10000).cast("string")
+    yuan = F.col("o_totalprice").cast(MONEY).cast("string")
+    y = F.date_format("o_orderdate", "yyyy")
+    party = F.concat(F.lit("东湖大学第"), n, F.lit("医院"))
+    table = F.concat(
+        F.lit("六、类似业绩一览表\n序 号 | 采购人 | 项目名称 | 合同金额（万元）\n1 | "), party, F.lit(" | 土壤成分检测项目"), n, F.lit(" | "), wan,
+        F.lit("\n2 | 北山医院\n| 血清分析服务项目 | 8万元\n\n序 号 | 采购人 | 项目名称 | 合同金额（万元）\n3 | 西溪研究院 | 水质检测项目 | \n注：完\n4 | 不读 | 不读 | 5"))
+    blocks = F.concat(
+        F.lit("十二、近三年项目业绩清单\n1、业绩1\n项目名称 | 河道水样检测\n服务合同\n采购人名称 | "), party, F.lit("\n合同价格 | "), wan,
+        F.lit("万\n签订日期 | "), y, F.lit("年3月\n2、业绩2\n采购人 | 西岸中心\n合同金额 | "), yuan, F.lit("元"))
+    cross = F.concat(
+        F.lit("五、类似项目一览表\n序号 | 年份 | 项目名称 | 采购单位\n1 | 2023 | 大气颗粒分析测试项目"), n, F.lit(" | "), party,
+        F.lit("\n四、后续章节\n附：大气颗粒分析测试项目"), n, F.lit("合同（"), party, F.lit("，"), wan, F.lit("万）\n"))
+    no_seq = F.concat(F.lit("类似项目业绩情况表\n项目名称 | 买方名称 | 合同价格（元）\n稻米成分检测服务 | "), party, F.lit(" | "), yuan, F.lit("元\n说明文字\n4.下一节"))
+    empty = F.concat(F.lit("业绩清单\n序号 | 采购人 | 项目名称 | 合同金额\n本次无业绩"), F.when(k % 2 == 0, F.lit("\n注：无")).otherwise(F.lit("")))
+    return o.select(k.alias("document_id"), F.when(m == 0, table).when(m == 1, blocks).when(m == 2, cross).when(m == 3, no_seq).otherwise(empty).alias("text"))
+
+
+def numbered_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """documents with every third line turned into a numbered heading of 24 characters."""
+    d = read_spread(spark, sf, "documents").select("doc_id", "source", F.split("text", "\n").alias("l"))
+    head = lambda s, i: F.concat(((i / 3).cast("int") % 20 + 1).cast("string"), F.lit("."), (i % 7 + 1).cast("string"), F.lit(" "),
+                                 F.trim(F.substring(F.regexp_replace(s, "[^a-zA-Z ]", ""), 1, 24)))
+    return d.select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("project_key"),
+                    F.array_join(F.transform("l", lambda s, i: F.when(i % 3 == 0, head(s, i)).otherwise(s)), "\n").alias("text"))
+
+
+def material_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Response texts with declarations, vouchers, instruments and purchase contracts, one per event."""
+    e = read_spread(spark, sf, "events")
+    k, t = F.col("event_id"), F.col("event_type")
+    ym = F.date_format("ts", "yyyy年M月")
+    ymd = F.date_format("ts", "yyyy年M月d日")
+    amount = F.format_number((F.col("value") * 1000).cast(MONEY), 2)
+    n = F.pmod(F.col("user_id"), F.lit(30)).cast("string")
+    m = F.pmod(k, F.lit(5))
+    return e.select(
+        k.alias("document_id"), F.when(k % 3 == 0, "our_response").otherwise("tender_requirement").alias("document_role"),
+        F.concat(F.lit("20240115-客户"), n, F.lit("/材料"), k.cast("string"), F.when(m == 0, "社保").when(m == 1, "审计报告").when(m == 2, "仪器").otherwise("说明"), F.lit(".pdf")).alias("relative_path"),
+        F.when(m == 0, F.concat(F.lit("现附上自"), ymd, F.lit("至2024年12月31日我方缴纳的社会保险凭据\n社会保险费缴费记录 "), F.date_format("ts", "yyyy-MM"), F.lit(" | 入库 "), F.date_format("ts", "yyyy-MM-dd"), F.lit("\n授权有效期至2026年3月")))
+        .when(m == 1, F.concat(F.lit("税务局完税证明\n金额合计\n（大写）人民币\n¥"), amount, F.lit("\n现附上（2023年度）财务报告，"), t))
+        .when(m == 2, F.concat(F.lit("拥有"), n, F.lit("台Model"), n, F.lit("分析仪，另有2台Model"), n, F.lit("分析仪PLUS。附件：拥有9台的 Zeta-"), n, F.lit(" 质谱采购合同，不签订采购合同")))
+        .when(m == 3, F.concat(F.lit("1、资质证书\n现附上（填写年度）财务报告\n"), ym, F.lit("社保缴纳情况\n其它")))
+        .otherwise(F.concat(F.lit("说明 "), t)).alias("text"))
