@@ -50,3 +50,11 @@ def lookup_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     """A driver-built table, broadcast only while its checked size is small."""
     df = spark.createDataFrame(rows, schema)
     return F.broadcast(df) if len(rows) <= MAX_BROADCAST_ROWS else df
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only after counting that the table stays within ``max_rows``.
+
+    A larger table comes back without the hint and joins by shuffle.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
