@@ -25,6 +25,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body`` (a lambda variable is a binding)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_or_empty(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
@@ -141,24 +146,19 @@ def char_class_norm(c: Column | str) -> Column:
 
 def shingles(c: Column | str, k: int = 4) -> Column:
     """Set of character k-grams of the normalised text; the whole text when it is shorter."""
-    s = char_class_norm(c)
-    n = F.length(s)
-    return (
-        F.when(n == 0, F.array().cast("array<string>"))
-        .when(n < k, F.array(s))
-        .otherwise(
-            F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))),
-                                         lambda i: F.substring(s, i, F.lit(k))))
-        )
-    )
+
+    def grams(s: Column) -> Column:
+        n = F.length(s)
+        every = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(k)))
+        return (F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(s)).otherwise(F.array_distinct(every)))
+
+    return let(char_class_norm(c), grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Overlap of two arrays of distinct items; 0 when either is empty."""
-    inter = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(
-        inter / (F.size(a) + F.size(b) - inter)
-    )
+    share = let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(share)
 
 
 def matches(c: Column | str, pattern: str) -> Column:
@@ -166,7 +166,8 @@ def matches(c: Column | str, pattern: str) -> Column:
     text = text_or_empty(c)
     hits = F.regexp_extract_all(text, F.lit(rx(pattern)), F.lit(0))
     gaps = F.split(text, rx(pattern), -1)
-    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("h"), F.length(g).alias("g")))
+    # One more gap than hits: the last pair has no hit and falls away.
+    pairs = F.filter(F.zip_with(hits, gaps, lambda h, g: F.struct(h.alias("h"), F.length(g).alias("g"))), lambda p: p["h"].isNotNull())
     kind = "struct<raw:string, start:int, end:int>"
     init = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
 
@@ -176,8 +177,8 @@ def matches(c: Column | str, pattern: str) -> Column:
         one = F.struct(p["h"].alias("raw"), start.alias("start"), end.alias("end"))
         return F.struct(end.alias("at"), F.concat(st["out"], F.array(one)).alias("out"))
 
-    return F.when(F.size(hits) == 0, F.array().cast(f"array<{kind}>")).otherwise(
-        F.aggregate(pairs, init, step, lambda st: st["out"]))
+    return F.when(text.rlike(rx(pattern)), F.aggregate(pairs, init, step, lambda st: st["out"])).otherwise(
+        F.array().cast(f"array<{kind}>"))
 
 
 def starts_of(c: Column | str, word: str) -> Column:

@@ -34,8 +34,13 @@ def contract_by_order_number(name: Column, vendors: rules.Vendors) -> Column:
 def classify(rel_path: Column | str, vendors: rules.Vendors = rules.Vendors(),
              manual_override: Column | None = None) -> Column:
     """struct(role, vendor, confidence, reason, conflict) from the path inside the project."""
-    rel = F.regexp_replace(F.replace(tx.text_or_empty(rel_path), F.lit("\\"), F.lit("/")), "^/+|/+$", "")
-    name, parent = tx.base_name(rel), tx.parent_path(rel)
+    clean = F.regexp_replace(F.replace(tx.text_or_empty(rel_path), F.lit("\\"), F.lit("/")), "^/+|/+$", "")
+    parts = tx.let(clean, lambda r: F.struct(r.alias("rel"), tx.base_name(r).alias("name"), tx.parent_path(r).alias("parent")))
+    return tx.let(parts, lambda p: _role(p, vendors, manual_override))
+
+
+def _role(path: Column, vendors: rules.Vendors, manual_override: Column | None) -> Column:
+    rel, name, parent = path["rel"], path["name"], path["parent"]
     low = F.lower(name)
     has = tx.contains_any_nocase
     response_name = has(name, rules.RESPONSE_HINTS + rules.PARTITION_HINTS)

@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import every module that registers queries."""
-    from workload import contracts, extraction, relational  # noqa: F401
+    from workload import catalog_queries, contracts, extraction, relational  # noqa: F401
