@@ -105,8 +105,14 @@ def commitments(docs: DataFrame, keys: list[str], text: str = "text") -> DataFra
     """One row per time mention that has a slot: (slot, minutes, value, clause, context, position)."""
     hint = "[0-9０-９一两二三四五六七八九十半]"
     df = docs.filter(F.col(text).rlike(hint)).select(*keys, F.col(text).alias("_t")).withColumn("_m", time_mentions("_t"))
-    rows = tx.unfold(df, "_m", [*keys, "_t"])
-    t, a, b = F.col("_t"), F.col("start"), F.col("end")
+    # Rows carry the surroundings of a mention, never the text.
+    df = df.withColumn("_m", F.transform("_m", lambda m: F.struct(
+        m["raw"].alias("raw"), m["minutes"].alias("minutes"), m["start"].alias("start"),
+        tx.sub("_t", F.greatest(m["start"] - rules.CLAUSE_WIDTH, F.lit(0)), m["start"]).alias("_before"),
+        tx.sub("_t", m["end"], m["end"] + rules.CLAUSE_WIDTH).alias("_behind"))))
+    rows = tx.unfold(df, "_m", keys).withColumn("_near", F.concat("_before", "raw", "_behind"))
+    rows = rows.withColumn("_a", F.length("_before")).withColumn("_b", F.col("_a") + F.length("raw"))
+    t, a, b = F.col("_near"), F.col("_a"), F.col("_b")
     return (rows.withColumn("slot", slot_of(t, a, b))
             .withColumn("value", F.replace("raw", F.lit(" "), F.lit(""))).withColumn("clause", clause_of(t, a, b))
             .withColumn("context", context_of(t, a, b)).filter("slot IS NOT NULL AND minutes IS NOT NULL")

@@ -55,16 +55,16 @@ def kind_counts(contracts: DataFrame) -> DataFrame:
 
 
 def suffix_matches(gold: DataFrame, catalog: DataFrame) -> DataFrame:
-    """gold.source_path ends with catalog.relative_path, joined on the file name and verified.
+    """gold.source_path ends with catalog.relative_path; the longest catalog path wins.
 
-    Any suffix that contains a slash shares its file name with the longer path, so the equi-join
-    loses nothing; a longer catalog path is the better match.
+    Every suffix of a gold path that still holds a slash becomes a join key, so the join is an
+    equality on whole paths and a file name shared by millions of files costs nothing.
     """
     clean = lambda c: F.lower(F.regexp_replace(F.replace(tx.col(c), F.lit("\\"), F.lit("/")), "^/+|/+$", ""))
-    g = gold.withColumn("_s", clean("source_path")).withColumn("_f", tx.base_name("_s"))
-    c = (catalog.select("document_id", clean("relative_path").alias("_r")).withColumn("_f", tx.base_name("_r"))
-         .filter(F.contains(F.col("_r"), F.lit("/"))))
     keys = gold.columns
-    best = (g.join(c, "_f").filter(F.col("_s").endswith(F.col("_r")))
-            .groupBy(*keys).agg(F.max_by("document_id", F.struct(F.length("_r"), "document_id")).alias("document_id")))
-    return best
+    suffixes = lambda s: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.substring(s, i, F.length(s))),
+                                  lambda x: F.contains(x, F.lit("/")))
+    g = gold.withColumn("_r", F.explode_outer(tx.let(clean("source_path"), suffixes))).filter("_r IS NOT NULL")
+    c = catalog.select("document_id", clean("relative_path").alias("_r"))
+    return (g.join(c, "_r").groupBy(*keys)
+            .agg(F.max_by("document_id", F.struct(F.length("_r"), "document_id")).alias("document_id")))

@@ -182,9 +182,10 @@ def instrument_models(questions: DataFrame, stored: DataFrame, aliases: Products
     by_alias = q.filter("_models IS NOT NULL").select("question_id", F.explode("_models").alias("model"))
     pieces = F.filter(F.split(tx.strip(tx.text_or_empty(text)), tx.rx(r"[\s \-_]+")), lambda p: F.length(p) >= 4)
     frags = q.filter("_models IS NULL").select("question_id", F.explode(F.array_distinct(pieces)).alias("fragment"))
-    frags = frags.withColumn("gram", tx.left("fragment", 4))
+    vocabulary = frags.select("fragment").distinct().withColumn("gram", tx.left("fragment", 4))
     names = stored.select("model").distinct().withColumn("_norm", tx.drop_space("model"))
     grams = names.filter(F.length("_norm") >= 4).select("model", "_norm", F.explode(F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.length("_norm") - 3), lambda i: F.substring("_norm", i, F.lit(4))))).alias("gram"))
-    by_part = frags.join(grams, "gram").filter(F.contains("_norm", F.col("fragment"))).select("question_id", "model").distinct()
+    found = vocabulary.join(grams, "gram").filter(F.contains("_norm", F.col("fragment"))).select("fragment", "model")
+    by_part = frags.join(found, "fragment").select("question_id", "model").distinct()
     return by_alias.unionByName(by_part)

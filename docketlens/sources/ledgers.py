@@ -21,18 +21,15 @@ def read_allow_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sheet_rows(docs: DataFrame, columns: list[str], text: str = "text", sheet: str = "Sheet1", first_row: int = 3) -> DataFrame:
-    """``Sheet!A1=value`` dumps as one row per sheet row, pivoted inside the document's row."""
+    """``Sheet!A1=value`` dumps as one row per sheet row; a cell written twice keeps its last value."""
     pattern = rf"(?m){sheet}!([A-Z]+)(\d+)=(.+?)(?=\s*\|\s*{sheet}!|\s*\n\s*{sheet}!|$)"
     every = lambda g: F.regexp_extract_all(tx.text_or_empty(text), F.lit(tx.rx(pattern)), F.lit(g))
-    cells = F.transform(F.arrays_zip(every(1).alias("c"), every(2).alias("r"), every(3).alias("v")),
-                        lambda x: F.struct(x["c"].alias("col"), x["r"].cast("int").alias("row"), x["v"].alias("val")))
-    d = docs.filter(F.contains(text, F.lit(f"{sheet}!"))).withColumn("_cells", F.filter(cells, lambda x: x["row"] >= first_row))
-    rows = F.transform(F.array_distinct(F.transform("_cells", lambda x: x["row"])), lambda r: F.struct(
-        r.alias("row_no"), F.map_from_entries(F.transform(tx.keep_first(F.filter("_cells", lambda x: x["row"] == r), lambda x: x["col"]),
-                                                          lambda x: F.struct(x["col"], x["val"]))).alias("cells")))
-    out = tx.unfold(d.withColumn("_rows", rows), "_rows", ["document_id", "relative_path"])
-    return out.select("document_id", "relative_path", "row_no",
-                      *[tx.strip(F.coalesce(F.element_at("cells", F.lit(c)), F.lit(""))).alias(c) for c in columns])
+    cells = F.arrays_zip(every(1).alias("column_name"), every(2).alias("row_no"), every(3).alias("cell"))
+    d = docs.filter(F.contains(text, F.lit(f"{sheet}!"))).withColumn("_cells", F.transform(cells, lambda x, i: F.struct(
+        x["column_name"].alias("column_name"), x["row_no"].cast("int").alias("row_no"), x["cell"].alias("cell"), i.alias("at"))))
+    rows = tx.unfold(d, "_cells", ["document_id", "relative_path"]).filter(F.col("row_no") >= first_row)
+    value = lambda c: tx.strip(F.coalesce(F.max_by("cell", F.when(F.col("column_name") == c, F.col("at"))), F.lit("")))
+    return rows.groupBy("document_id", "relative_path", "row_no").agg(*[value(c).alias(c) for c in columns])
 
 
 def voucher_records(docs: DataFrame) -> DataFrame:

@@ -108,7 +108,7 @@ def facts_inserted(spark, sf):
 SELECT contract_id || '-' || l_linenumber || CASE WHEN n > 1 THEN '-r' || n ELSE '' END AS item_id FROM x"""))
 def stable_row_ids(spark, sf):
     items = v.contract_items(spark, sf).withColumn("seq", F.col("row_order.a"))
-    return identity.row_ids(items, "contract_id", "seq", F.col("row_order")).select("item_id")
+    return identity.row_ids(items, "contract_id", "seq", "row_order").select("item_id")
 
 
 @query("turn_similarity", """

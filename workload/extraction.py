@@ -200,3 +200,42 @@ def fact_snippets(spark, sf):
     texts = v.read(spark, sf, "documents").select(d.alias("document_id"), "text")
     return facts.fact_snippets(f, texts, {"a": ("tion", "eux"), "b": ("che",)}).select(
         "document_id", F.md5("content_snippet").alias("snippet_hash"), "snippet_missing")
+
+
+def contract_catalog(spark, sf):
+    return v.contract_texts(spark, sf).select(
+        "document_id", "relative_path", "text", F.lit("contract_evidence").alias("document_role"), F.lit("v2").alias("parser_version"), "o_orderkey")
+
+
+@query("contract_extraction_run", with_views(CT + """
+, ln AS (SELECT document_id, layout, l_returnflag, price FROM ct),
+a AS (SELECT 'detail' AS row_type, 'named' AS kind, CASE WHEN l_returnflag <> 'R' THEN CAST(price AS DECIMAL(18,2)) END AS amount FROM ln WHERE layout IN (0, 1)
+  UNION ALL SELECT 'detail', 'named', 21 FROM ln WHERE layout = 0 UNION ALL SELECT 'product_subtotal', 'named', CAST(price AS DECIMAL(18,2)) FROM ln WHERE layout = 0
+  UNION ALL SELECT 'detail', 'named', CAST(price AS DECIMAL(18,2)) FROM ln WHERE layout = 2 UNION ALL SELECT 'detail', 'named', NULL FROM ln WHERE layout = 2)
+SELECT row_type, count(*) AS rows, count(amount) AS known, CAST(sum(amount) AS DOUBLE) AS amount FROM a GROUP BY 1"""))
+def contract_extraction(spark, sf):
+    from docketlens.plans import pipelines
+
+    lines = pipelines.contract_lines(contract_catalog(spark, sf))
+    return lines.groupBy("row_type").agg(F.count("*").alias("rows"), F.count("line_amount").alias("known"),
+                                         F.sum("line_amount").cast("double").alias("amount"))
+
+
+@query("missing_contract_backfill", with_views(CT + """
+SELECT count(DISTINCT document_id) AS documents, count(*) FILTER (TRUE) AS heads FROM ct WHERE o_orderkey % 3 = 0"""))
+def missing_backfill(spark, sf):
+    from docketlens.plans import pipelines
+
+    docs = contract_catalog(spark, sf)
+    known = docs.filter("o_orderkey % 3 <> 0").select(header.contract_number(tx.base_name("relative_path")).alias("contract_number"))
+    heads, _ = pipelines.missing_contracts(docs.drop("o_orderkey"), known, None)
+    return heads.agg(F.count_distinct("document_id").alias("documents"), F.count("*").alias("heads"))
+
+
+@query("contract_dates", with_views(CT + """
+SELECT DISTINCT document_id, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m') END AS contract_date,
+ CASE WHEN o_orderkey % 4 = 3 THEN 'contract_id' ELSE 'signature_page' END AS source FROM ct WHERE o_orderdate >= DATE '2000-01-01'"""))
+def contract_dates(spark, sf):
+    d = v.contract_texts(spark, sf).filter("o_orderdate >= '2000-01-01'")
+    got = header.contract_date("text", tx.base_name("relative_path"), 1995, 2030)
+    return d.withColumn("d", got).select("document_id", F.col("d.date").alias("contract_date"), F.col("d.source").alias("source")).distinct()
