@@ -34,18 +34,26 @@ def context_pattern(alias: str, words: tuple[str, ...] = rules.MENTION_CONTEXT_W
             if alias.startswith(tail) and len(head) <= window:
                 gap = f"[\\s\\S]{{0,{window - len(w)}}}" if o == 0 else ""
                 options.append(f"(?<={re.escape(head)}{gap}){a}")
-    return "|".join(dict.fromkeys(options)) or r"(?!)"
+    # The look-ahead lets every other position fail on its first character.
+    return f"(?={a})(?:{'|'.join(dict.fromkeys(options))})" if options else r"(?!)"
 
 
 def line_around(text: Column, pos: Column, size: int, cut: int = 200, tail: int = 60) -> Column:
     """The line holding the 1-based ``pos``; without a line break after it, ``tail`` more characters."""
     before = F.substring(text, F.lit(1), pos - 1)
-    start = pos - F.length(F.regexp_extract(before, r"[^\n]*$", 0))
+    start = pos - F.length(F.substring_index(before, "\n", -1))
     stop = F.position(F.lit("\n"), text, pos + size)
     end = F.when(stop > 0, stop).otherwise(pos + size + tail)
     return tx.left(tx.strip(F.substring(text, start, end - start)), cut)
 
 
+def _line_at(body: Column, size: int):
+    def line(pos: Column) -> Column:
+        return F.when(pos > 0, line_around(body, pos, size))
+
+    return line
+
+
 def mention_line(text: Column | str, aliases: tuple[str, ...],
                  words: tuple[str, ...] = rules.MENTION_CONTEXT_WORDS) -> Column:
     """Evidence line of the first alias (in list order) found in business context, else NULL."""
@@ -53,8 +61,8 @@ def mention_line(text: Column | str, aliases: tuple[str, ...],
     found = []
     for alias in [a for a in aliases if a]:
         pattern = context_pattern(alias, words)
-        found.append(F.when(body.rlike(pattern),
-                            line_around(body, F.regexp_instr(body, F.lit(pattern)), len(alias))))
+        at = F.when(F.contains(body, F.lit(alias)), F.regexp_instr(body, F.lit(pattern)))
+        found.append(tx.let(at, _line_at(body, len(alias))))
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
@@ -76,7 +84,7 @@ def mention_contracts(contracts: DataFrame, documents: DataFrame, texts: DataFra
               .select("contract_id").distinct())
     # The text is reduced to one evidence line while it is scanned, before any join carries it.
     hits = (texts.filter(~tx.contains_any("text", cond.product_exclude) & tx.contains_any("text", cond.keywords))
-            .select("canonical_document_id", mention_line("text", cond.keywords, words).alias("evidence_snippet"))
+            .select("canonical_document_id", F.explode_outer(F.array(mention_line("text", cond.keywords, words))).alias("evidence_snippet"))
             .filter("evidence_snippet IS NOT NULL"))
     return (c.join(docs, "document_id").join(hits, "canonical_document_id")
             .join(listed, "contract_id", "left_anti").withColumn("product", F.lit(product)))

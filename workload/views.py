@@ -29,7 +29,7 @@ def contract_number(key, date):
 
 def order_paths(spark: SparkSession, sf: str) -> DataFrame:
     """One contract file per order, with the file-name pattern number-product-client-amount."""
-    o, c = read(spark, sf, "orders"), read(spark, sf, "customer")
+    o, c = read_spread(spark, sf, "orders"), read(spark, sf, "customer")
     k = F.col("o_orderkey")
     number = contract_number(k, F.col("o_orderdate"))
     return (
@@ -95,7 +95,7 @@ def contracts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def contract_items(spark: SparkSession, sf: str) -> DataFrame:
-    li, p = read(spark, sf, "lineitem"), read(spark, sf, "part")
+    li, p = read_spread(spark, sf, "lineitem"), read(spark, sf, "part")
     unknown = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 3)
     subtotal = F.col("l_linenumber") == 7
     return li.join(p, li.l_partkey == p.p_partkey).select(
@@ -127,7 +127,7 @@ def facts(spark: SparkSession, sf: str) -> DataFrame:
     r = F.pmod("event_id", F.lit(4))
     d = F.dayofmonth("ts")
     shift = F.date_format(F.add_months("ts", 2), "yyyy-MM")
-    return read(spark, sf, "events").select(
+    return read_spread(spark, sf, "events").select(
         "event_id",
         F.col("user_id").alias("document_id"),
         F.col("event_type").alias("fact_type"),
