@@ -170,6 +170,23 @@ def file_purpose(path: Column | str, role: Column | str, companies: tuple[str, .
     return F.when(stem == "", label).otherwise(F.concat(label, F.lit("（"), stem, F.lit("）")))
 
 
+def batch_candidates(docs: DataFrame, roles: tuple[str, ...] = (), extensions: tuple[str, ...] = (), formats: tuple[str, ...] = (),
+                     statuses: tuple[str, ...] = (), max_size: int | None = None, size: str = "file_size") -> DataFrame:
+    """Catalog filters of a batch run: role, extension, content format, status, size. Empty means any."""
+    keep = F.lit(True)
+    for column, allowed in (("document_role", roles), ("content_format", formats), ("parse_status", statuses)):
+        if allowed:
+            keep = keep & F.coalesce(F.col(column).isin(*allowed), F.lit(False))
+    if extensions:
+        tests = F.lit(False)
+        for e in extensions:
+            tests = tests | F.lower("relative_path").endswith(e)
+        keep = keep & tests
+    if max_size is not None:
+        keep = keep & F.coalesce(F.col(size) < max_size, F.lit(False))
+    return docs.filter(keep)
+
+
 AUDIT_HINTS = rules.SIGNED_HINTS
 
 

@@ -119,6 +119,24 @@ def related_facts(facts: DataFrame, documents: DataFrame, cond: FactCondition, e
             .join(seen, ["relative_path", "_ev"], "left_anti").drop("_ev"))
 
 
+def calendar(low: int = rules.YEAR_MIN, high: int = rules.YEAR_MAX) -> list[str]:
+    """Every year and month a question can ask for."""
+    return [v for y in range(low, high + 1) for v in (str(y), *(f"{y}-{m:02d}" for m in range(1, 13)))]
+
+
+def covering_facts(facts: DataFrame, questions: DataFrame, low: int = rules.YEAR_MIN, high: int = rules.YEAR_MAX) -> DataFrame:
+    """Many period questions (question_id, fact_type, period) against range facts.
+
+    Each distinct stored range is expanded once to the calendar values it covers, so the range
+    condition becomes an equality on (fact_type, period).
+    """
+    ranges = facts.filter(F.contains(tx.text_or_empty("fact_value"), F.lit("~"))).select("fact_value").distinct()
+    values = F.array(*[F.lit(v) for v in calendar(low, high)])
+    spread = ranges.select("fact_value", F.explode(F.filter(values, lambda q: period_covers(q, F.col("fact_value")))).alias("period"))
+    wanted = questions.join(spread, "period").select("question_id", "fact_type", "fact_value")
+    return facts.join(wanted, ["fact_type", "fact_value"])
+
+
 def fold_by_file(rows: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     """(one row per file: first fact, record and period counts; flat distinct periods per file)."""
     other = [c for c in rows.columns if c not in ("relative_path", order)]

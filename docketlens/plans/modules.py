@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docketlens import rules
 from docketlens.functions import text as tx
 from docketlens.operators import identity
 
@@ -44,6 +45,20 @@ def payment_status(contracts: DataFrame, vouchers: DataFrame, receipts: DataFram
             .drop("_k"))
 
 
+def overview(contracts: DataFrame, facts: DataFrame, approved: DataFrame,
+             finance: tuple[str, ...] = rules.FINANCE_FACT_TYPES, instruments: tuple[str, ...] = rules.INSTRUMENT_FACT_TYPES) -> DataFrame:
+    """Cards of the three modules; the same type lists feed the detail pages."""
+    card = F.when(F.col("fact_type").isin(*finance), "finance").when(F.col("fact_type").isin(*instruments), "instruments")
+    by_fact = (facts.withColumn("module", card).filter("module IS NOT NULL").groupBy("module").agg(F.count("*").alias("items")))
+    signed = approved_contracts(contracts, approved).agg(F.count("*").alias("items")).select(F.lit("contracts").alias("module"), "items")
+    return signed.unionByName(by_fact)
+
+
+def product_order() -> list[Column]:
+    """Products inside a contract: unknown amounts last, then the largest first."""
+    return [F.when(F.col("amount").isNull(), 1).otherwise(0), F.coalesce(F.col("amount"), F.lit(0)).desc(), F.col("product_raw")]
+
+
 def newest_contracts(contracts: DataFrame, cap: int) -> DataFrame:
     """Allow-list already applied; newest first, undated last."""
     return contracts.orderBy(F.desc_nulls_last("contract_date"), "contract_id").limit(cap)

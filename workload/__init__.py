@@ -3,4 +3,4 @@
 
 def load() -> None:
     """Import every module that registers queries."""
-    from workload import catalog_queries, contracts, extraction, questions, ranking_queries, relational  # noqa: F401
+    from workload import catalog_queries, contracts, extraction, more_queries, questions, ranking_queries, relational  # noqa: F401

@@ -1,0 +1,103 @@
+"""Batch filters, period joins, overview cards, outlines and module knowledge."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docketlens.functions import periods, text as tx
+from docketlens.operators import amounts, classify, sections
+from docketlens.plans import kb, material, modules
+from workload import views as v
+from workload.extraction import MT
+from workload.registry import query
+from workload.sqlviews import with_views
+
+
+@query("batch_candidates", with_views("""
+SELECT document_id FROM contract_documents WHERE document_role IN ('final_signed','our_response') AND content_format = 'scanned_ocr' AND parse_status = 'done' AND length(relative_path) < 80"""))
+def batch_candidates(spark, sf):
+    d = v.contract_documents(spark, sf).withColumn("file_size", F.length("relative_path"))
+    got = classify.batch_candidates(d, ("final_signed", "our_response"), (".pdf",), ("scanned_ocr",), ("done",), 80)
+    return got.select("document_id")
+
+
+@query("period_questions_answered", with_views("""
+, q AS (SELECT event_id AS question_id, event_type AS fact_type, CASE WHEN event_id % 2 = 0 THEN '2024-0' || (event_id % 5 + 1) ELSE '202' || (event_id % 4 + 3) END AS period FROM events WHERE event_id < 60)
+SELECT question_id, count(*) AS facts, min(event_id) AS first_event FROM q JOIN facts f USING (fact_type) WHERE contains(fact_value, '~')
+ AND ((ends_with(fact_value, '~') AND rtrim(fact_value, '~') <= period) OR (NOT ends_with(fact_value, '~') AND split_part(fact_value, '~', 1) <= period AND period <= split_part(fact_value, '~', 2)))
+GROUP BY 1"""))
+def period_questions(spark, sf):
+    k = F.col("event_id")
+    q = v.read(spark, sf, "events").filter("event_id < 60").select(
+        k.alias("question_id"), F.col("event_type").alias("fact_type"),
+        F.when(k % 2 == 0, F.concat(F.lit("2024-0"), (k % 5 + 1).cast("string"))).otherwise(F.concat(F.lit("202"), (k % 4 + 3).cast("string"))).alias("period"))
+    return material.covering_facts(v.facts(spark, sf), q).groupBy("question_id").agg(F.count("*").alias("facts"), F.min("event_id").alias("first_event"))
+
+
+@query("fact_period_bounds", with_views("""
+SELECT event_id, split_part(fact_value, '~', 1) AS lo, CASE WHEN ends_with(fact_value, '~') THEN NULL WHEN contains(fact_value, '~') THEN split_part(fact_value, '~', 2) ELSE fact_value END AS hi,
+ ends_with(fact_value, '~') AS is_open FROM facts WHERE fact_value IS NOT NULL"""))
+def fact_period_bounds(spark, sf):
+    f = v.facts(spark, sf).withColumn("p", periods.period_struct("fact_value")).filter("p IS NOT NULL")
+    return f.select("event_id", "p.lo", "p.hi", "p.is_open")
+
+
+@query("scanned_periods", with_views(MT + """
+SELECT document_id, CASE m WHEN 0 THEN array_to_string(list_sort(list_distinct([ym, '2024-12'])), '|') WHEN 1 THEN '2023' WHEN 3 THEN ym ELSE '' END AS found FROM mt"""))
+def scanned_periods(spark, sf):
+    got = periods.scan_periods(F.lit("f"), "text", head=100_000)
+    return v.material_texts(spark, sf).select("document_id", F.array_join(got, "|").alias("found"))
+
+
+@query("module_overview", with_views("""
+SELECT 'contracts' AS module, count(*) AS items FROM contracts WHERE substr(document_id, 1, 12) IN (SELECT id_prefix FROM approved_documents)
+UNION ALL SELECT 'finance', count(*) FROM facts WHERE fact_type IN ('view', 'click') UNION ALL SELECT 'instruments', count(*) FROM facts WHERE fact_type = 'error'"""))
+def module_overview(spark, sf):
+    return modules.overview(v.contracts(spark, sf), v.facts(spark, sf), v.approved_documents(spark, sf), ("view", "click"), ("error",))
+
+
+@query("products_by_contract_order", with_views("""
+, r AS (SELECT contract_id, product_raw, sum(line_amount) AS amount FROM contract_items WHERE row_type = 'detail' GROUP BY ALL)
+SELECT contract_id, product_raw, CAST(amount AS DOUBLE) AS amount FROM r"""))
+def products_ordered(spark, sf):
+    roll = amounts.product_rollup(v.contract_items(spark, sf)).select("contract_id", "product_raw", F.col("amount").cast("double").alias("amount"))
+    return roll.orderBy("contract_id", *modules.product_order())
+
+
+OUT = """
+, ln AS (SELECT doc_id, i AS line_no, trim(l[i]) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)),
+h AS (SELECT *, (line_no - 1) % 4 = 0 AND line <> '' AND length(line) <= 40 AND NOT contains(line, '|') AND NOT contains(line, chr(9)) AND NOT regexp_matches(line, '[。；！？!?；]\\s*$') AS is_h FROM ln),
+rp AS (SELECT doc_id, line FROM ln WHERE line <> '' AND length(line) <= 40 GROUP BY 1, 2 HAVING count(*) >= 5),
+g AS (SELECT *, sum(CASE WHEN is_h THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS seq FROM h),
+s AS (SELECT doc_id, seq, min(line_no) AS line_no, arg_min(line, line_no) AS heading, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT is_h AND line <> ''), '') AS body FROM g WHERE seq > 0 GROUP BY ALL)
+"""
+
+
+@query("outline_sections", with_views(OUT + """
+SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(line_no AS INT) AS line_no, md5(body) AS body_hash, 'word_outline' AS boundary_source FROM s
+WHERE length(body) >= 40 AND NOT (length(heading) < 30 AND EXISTS (SELECT 1 FROM rp WHERE rp.doc_id = s.doc_id AND rp.line = s.heading))"""))
+def outline_sections(spark, sf):
+    d = v.read_spread(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    marks = F.filter(F.transform(F.split("text", "\n"), lambda s, i: F.when(i % 4 == 0, F.struct((i + 1).alias("line"), F.lit(1).alias("level"), F.lit("H").alias("style")))),
+                     lambda m: m.isNotNull())
+    got = sections.cut_sections(d.withColumn("outline", marks), ["document_id"], outline="outline")
+    return got.select("document_id", "line_no", F.md5("section_text").alias("body_hash"), "boundary_source")
+
+
+@query("text_commitments_by_source")
+def text_commitments(spark, sf):
+    """Time mentions in the documents themselves, with a unit word appended to their numbers."""
+    d = v.read_spread(spark, sf, "documents").filter(F.col("text").rlike("[0-9]")).select(
+        F.col("doc_id").alias("document_id"), F.col("source").alias("module"), F.concat("text", F.lit("。响应"), (F.col("doc_id") % 40 + 1).cast("string"), F.lit("小时")).alias("text"))
+    return kb.commitment_slots(kb.commitment_values(d, ["module"], "document_id", "text"), ["module"])
+
+
+@query("project_summaries", with_views("SELECT DISTINCT project_folder, c_mktsegment AS summary FROM order_paths"))
+def project_summaries(spark, sf):
+    return v.order_paths(spark, sf).select("project_folder").distinct().select("project_folder", classify.project_summary("project_folder").alias("summary"))
+
+
+@query("document_line_counts", """SELECT doc_id, len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END AS lines FROM documents WHERE text <> '' AND NOT contains(text, chr(13))""")
+def line_counts(spark, sf):
+    d = v.read(spark, sf, "documents").filter("text <> ''").filter(~F.contains("text", F.lit("\r")))
+    return d.select("doc_id", F.size(tx.lines("text")).alias("lines"))
