@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docketlens import rules
@@ -43,14 +41,17 @@ def time_mentions(text: Column | str) -> Column:
     return F.concat(arabic, found(rules.CHINESE_TIME, lambda d: _lookup(rules.CHINESE_DIGITS, d), ("日", "月")))
 
 
-def _blocked(slot: Column, tail: Column) -> Column:
-    out = F.lit(False)
-    for s, words in rules.SLOT_BLOCK_AFTER.items():
-        bad = F.lit(False)
-        for w in words:
-            bad = bad | tail.startswith(w)
-        out = out | ((slot == s) & bad)
-    return out
+def _slot_pattern(slots: list[str], first_only: bool) -> str:
+    """Slot words that are not followed by a word that makes them something else.
+
+    ``first_only`` accepts just the first occurrence of each word in the searched piece.
+    """
+    parts = []
+    for s in slots:
+        block = rules.SLOT_BLOCK_AFTER.get(s)
+        behind = f"(?<!{s}[\\s\\S]{{0,{rules.AFTER_LOOKAHEAD}}})" if first_only else ""
+        parts.append(f"{behind}{s}" + (f"(?!{'|'.join(block)})" if block else ""))
+    return "|".join(parts)
 
 
 def slot_of(text: Column, start: Column, end: Column) -> Column:
@@ -59,35 +60,28 @@ def slot_of(text: Column, start: Column, end: Column) -> Column:
     Distances tie in favour of the word behind the mention; a following action that is no slot
     ends the search; words such as "response document" are not services.
     """
-    after = tx.sub(text, end, end + rules.AFTER_LOOKAHEAD)
-    order = {s: i for i, s in enumerate(rules.TIME_SLOTS)}
-    ahead = []
-    for s in rules.TIME_SLOTS:
-        at = tx.find(after, s)
-        tail = F.substring(after, at + len(s) + 1, F.lit(2))
-        ahead.append(F.when((at >= 0) & ~_blocked(F.lit(s), tail),
-                            F.struct(at.alias("at"), F.lit(order[s]).alias("o"), F.lit(s).alias("slot"))))
-    next_slot = F.array_min(F.filter(F.array(*ahead), lambda x: x.isNotNull()))["slot"]
+    ahead = tx.sub(text, end, end + rules.AFTER_LOOKAHEAD)
+    next_slot = tx.rx_group(ahead, _slot_pattern(list(rules.TIME_SLOTS), True), 0)
 
+    order = {s: i for i, s in enumerate(rules.TIME_SLOTS)}
     lo = F.greatest(start - rules.SLOT_WINDOW, F.lit(0))
-    window = tx.sub(text, lo, end + rules.SLOT_WINDOW)
+    # The two characters behind a word decide whether it is blocked, so the window carries two more.
+    window = tx.sub(text, lo, end + rules.SLOT_WINDOW + 2)
     # Two passes, because the last word of one slot may begin another.
     late = "保修"
-    words = [s for s in rules.TIME_SLOTS if s != late]
-    spots = F.concat(tx.matches(window, "|".join(map(re.escape, words))), tx.matches(window, late))
+    early = _slot_pattern([s for s in rules.TIME_SLOTS if s != late], False)
+    spots = F.filter(F.concat(tx.matches(window, early), tx.matches(window, late)),
+                     lambda m: lo + m["end"] <= end + rules.SLOT_WINDOW)
 
     def scored(m: Column) -> Column:
         a, b = lo + m["start"], lo + m["end"]
         d = F.when(b <= start, (start - b).cast("double")).when(a >= end, (a - end) - F.lit(0.5)).otherwise(F.lit(-0.5))
-        return F.when(~_blocked(m["raw"], F.substring(text, b + 1, F.lit(2))),
-                      F.struct(d.alias("d"), _lookup(order, m["raw"]).alias("o"), m["start"].alias("at"), m["raw"].alias("slot")))
-
-    nearest = F.array_min(F.filter(F.transform(spots, scored), lambda x: x.isNotNull()))["slot"]
-    slot = F.when(next_slot.isNotNull(), next_slot).when(~tx.contains_any(after, rules.NON_SLOT_ACTIONS), nearest)
-    alias = F.lit(None).cast("string")
-    for k, v in rules.SLOT_ALIAS.items():
-        alias = F.when(slot == k, v).otherwise(alias)
-    return F.coalesce(alias, slot)
+        return F.struct(d.alias("d"), _lookup(order, m["raw"]).alias("o"), m["start"].alias("at"), m["raw"].alias("slot"))
+
+    nearest = F.array_min(F.transform(spots, scored))["slot"]
+    action = ahead.rlike("|".join(rules.NON_SLOT_ACTIONS))
+    chosen = tx.let(next_slot, lambda s: F.when(s.isNotNull(), s).when(~action, nearest))
+    return tx.let(chosen, lambda s: F.coalesce(_lookup(rules.SLOT_ALIAS, s), s))
 
 
 def clause_of(text: Column, start: Column, end: Column, width: int = rules.CLAUSE_WIDTH) -> Column:
