@@ -54,10 +54,12 @@ def fleiss_kappa(labels: DataFrame) -> DataFrame:
     """Agreement beyond chance for items judged by the same number of labellers."""
     counts = labels.groupBy("item_id", "label").agg(F.count("*").alias("n"))
     per_item = counts.groupBy("item_id").agg(F.sum("n").alias("r"), F.sum(F.col("n") * F.col("n")).alias("sq"))
-    p_item = per_item.agg(F.avg((F.col("sq") - F.col("r")) / (F.col("r") * (F.col("r") - 1))).alias("p_bar"), F.sum("r").alias("total"))
+    p_item = per_item.agg(F.avg((F.col("sq") - F.col("r")) / (F.col("r") * (F.col("r") - 1))).alias("p_bar"))
     shares = counts.groupBy("label").agg(F.sum("n").alias("n"))
     chance = shares.agg((F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("p_e"))
-    both = p_item.withColumn("_k", F.lit(1)).join(F.broadcast(chance.withColumn("_k", F.lit(1))), "_k")
+    null = F.lit(None).cast("double")
+    both = (p_item.select("p_bar", null.alias("p_e")).unionByName(chance.select(null.alias("p_bar"), "p_e"))
+            .agg(F.max("p_bar").alias("p_bar"), F.max("p_e").alias("p_e")))
     return both.select(F.round("p_bar", 4).alias("observed"), F.round("p_e", 4).alias("expected"),
                        F.round((F.col("p_bar") - F.col("p_e")) / (1 - F.col("p_e")), 4).alias("kappa"))
 

@@ -84,7 +84,9 @@ def outline_sections(spark, sf):
     return got.select("document_id", "line_no", F.md5("section_text").alias("body_hash"), "boundary_source")
 
 
-@query("text_commitments_by_source")
+@query("text_commitments_by_source", """
+SELECT source AS module, '响应' AS slot, count(DISTINCT doc_id % 40) AS distinct_values, CAST(min(doc_id % 40 + 1) * 60 AS DOUBLE) AS strictest,
+ CAST(max(doc_id % 40 + 1) * 60 AS DOUBLE) AS longest, count(DISTINCT doc_id % 40) > 1 AS conflict FROM documents WHERE regexp_matches(text, '[0-9]') GROUP BY 1""")
 def text_commitments(spark, sf):
     """Time mentions in the documents themselves, with a unit word appended to their numbers."""
     d = v.read_spread(spark, sf, "documents").filter(F.col("text").rlike("[0-9]")).select(

@@ -215,7 +215,7 @@ def ledger_next(spark, sf):
 @query("contract_header_refresh", with_views("""
 SELECT document_id, 'CTL-' || document_id AS contract_id, CASE WHEN p AND (t OR nm) THEN 'N' || k WHEN s THEN 'O' || k END AS contract_number,
  CASE WHEN p AND t THEN 'new' WHEN s THEN 'old' END AS party_a,
- CASE WHEN p AND (t OR nm OR k % 11 = 0) THEN CASE WHEN k % 11 = 0 THEN 1.0 END WHEN s THEN 2.0 END AS total_amount,
+ CAST(CASE WHEN p AND (t OR nm OR k % 11 = 0) THEN CASE WHEN k % 11 = 0 THEN 1.0 END WHEN s THEN 2.0 END AS DOUBLE) AS total_amount,
  CASE WHEN NOT p THEN 'keep' WHEN NOT s THEN 'insert' ELSE 'update' END AS action
 FROM (SELECT o_orderkey AS document_id, o_orderkey AS k, o_orderkey % 2 = 0 AS s, o_orderkey % 3 <> 0 AS p, o_orderkey % 5 < 3 AS t, o_orderkey % 7 < 4 AS nm FROM orders) WHERE s OR p"""))
 def contract_refresh(spark, sf):
@@ -341,7 +341,7 @@ def recall_per_query(spark, sf):
     return per_query(spark, sf)
 
 
-@query("recall_total", saved_sql(GOLD + "SELECT sum(relevant) AS relevant, sum(retrieved) AS retrieved, sum(false_positives) AS false_positives, round(sum(retrieved) / sum(relevant), 4) AS recall FROM per"))
+@query("recall_total", saved_sql(GOLD + "SELECT CAST(sum(relevant) AS BIGINT) AS relevant, CAST(sum(retrieved) AS BIGINT) AS retrieved, CAST(sum(false_positives) AS BIGINT) AS false_positives, round(sum(retrieved) / sum(relevant), 4) AS recall FROM per"))
 def recall_total(spark, sf):
     return evaluate.recall_total(per_query(spark, sf))
 
@@ -350,7 +350,7 @@ def recall_total(spark, sf):
 , rk AS (SELECT query_id, contract_id, row_number() OVER (PARTITION BY query_id ORDER BY amount DESC, contract_id, product) AS rank FROM sr WHERE hit),
 j AS (SELECT rk.*, g.contract_id IS NOT NULL AS ok FROM rk LEFT JOIN (SELECT query_id, contract_id FROM gold WHERE relevant) g USING (query_id, contract_id) WHERE rank <= 10)
 SELECT query_id, bool_or(ok AND rank <= 5) AS success, count(*) AS shown, count(*) FILTER (ok) AS relevant_shown, count(*) FILTER (NOT ok) AS unlabelled,
- round(count(*) FILTER (ok) / count(*), 4) AS precision, 1.0 AS precision_upper FROM j WHERE query_id IN (SELECT query_id FROM gold WHERE relevant) GROUP BY 1"""))
+ round(count(*) FILTER (ok) / count(*), 4) AS precision, CAST(1.0 AS DOUBLE) AS precision_upper FROM j WHERE query_id IN (SELECT query_id FROM gold WHERE relevant) GROUP BY 1"""))
 def success_precision(spark, sf):
     ranked = saved.locate_many(v.contract_items(spark, sf), v.contracts(spark, sf), SAVED).filter("hit")
     return evaluate.precision_at(ranked, gold_rows(spark, sf), [F.col("amount").desc(), F.col("contract_id"), F.col("product")])
