@@ -28,16 +28,14 @@ def get_spark(app: str = "docketlens", cores: str = "*", shuffle: int = 8) -> Sp
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: the cluster's setting, or a local one where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined() and (configured is None or configured.rstrip("/") in current.get()):
+        return current.get()
     if configured is None:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured is None:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
         configured = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -271,7 +271,7 @@ a AS (SELECT html, regexp_replace(html, '<script\\b.*?</script\\s*>|<style\\b.*?
 b AS (SELECT html, regexp_replace(regexp_replace(t, '<(?:br|/p|/h[1-6]|/li|/tr|/div)\\b[^>]*>', chr(10), 'gi'), '<[^>]*>', ' ', 'gs') AS t FROM a),
 c AS (SELECT html, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM b),
 d AS (SELECT html, trim(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS t FROM c)
-SELECT sha256(html) AS sha256, CAST(length(t) AS INT) AS chars, 'html_text' AS parser_name, '1' AS parser_version, contains(t, '<') AS has_markup FROM d""")
+SELECT sha256(html) AS sha256, CAST(length(t) AS INT) AS chars, 'html_text' AS parser_name, contains(t, '<') AS has_markup FROM d""")
 def page_texts(spark, sf):
     pages = v.read_spread(spark, sf, "pages").select(F.col("page_id").alias("document_id"), F.col("html").alias("content"), F.sha2("html", 256).alias("sha256"))
     known = pages.filter("document_id % 7 = 0").select("sha256", F.lit(art.PARSER).alias("parser_name"), F.lit(art.VERSION).alias("parser_version"))
