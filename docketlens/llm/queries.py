@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketlens.llm import quality_rules
+from docketlens.llm import quality_rules, secret_index, simhash_variants
 from docketlens.llm.words import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,8 +32,8 @@ d AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM g),
 r AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM d, (VALUES (0), (1), (2)) AS v(o) WHERE c > 1 GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM t),
 m AS (SELECT doc_id, l, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS n, len(regexp_replace(l, '[\\x20\\x09-\\x0D]+', '', 'g')) AS chars,
-  len(list_filter(string_split_regex(l, '[\\x20\\x09]+'), x -> x IN ('|', '»', '›', '•', '·'))) AS seps,
-  len(list_filter(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+'), x -> regexp_matches(x, '[#*$%&|<>]|!!'))) AS noisy FROM l),
+  len(list_filter(string_split_regex(l, '[\\x20\\x09]+'), lambda x: x IN ('|', '»', '›', '•', '·'))) AS seps,
+  len(list_filter(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+'), lambda x: regexp_matches(x, '[#*$%&|<>]|!!'))) AS noisy FROM l),
 f AS (SELECT *, CASE WHEN n = 0 THEN NULL
   WHEN seps >= {_RULES.min_separators} AND seps * {_RULES.words_per_separator} >= n THEN 'navigation'
   WHEN n <= {_RULES.max_boilerplate_words} AND ({_PHRASES}) THEN 'boilerplate'
@@ -56,3 +56,23 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "lost_chars", "n_punctuation_lines", "n_navigation_lines", "n_boilerplate_lines")
+
+
+@query("op10_simhash_variants")
+def op10_simhash_variants(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return simhash_variants.near_duplicates(docs).select(
+        "doc_id", simhash_variants.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op3_secret_index")
+def op3_secret_index(spark: SparkSession, sf: str) -> DataFrame:
+    found = secret_index.scan(read(spark, sf, "documents").select("doc_id", "text"), keep=["doc_id"])
+    kinds = [r.kind for r in secret_index.BASE]
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in kinds], F.sha2(secret_index.span_list(base), 256).alias("base_sha256"),
+                        secret_index.span_list(F.col("spans")).alias("spans"))
