@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketlens.llm import quality_rules, secret_index, simhash_variants
+from docketlens.llm import mixing, quality_rules, secret_index, simhash_variants
 from docketlens.llm.words import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,25 @@ def op3_secret_index(spark: SparkSession, sf: str) -> DataFrame:
 
     return found.select("doc_id", *[count(k) for k in kinds], F.sha2(secret_index.span_list(base), 256).alias("base_sha256"),
                         secret_index.span_list(F.col("spans")).alias("spans"))
+
+
+MIXING_SQL = """
+WITH t AS (SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS k, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM t GROUP BY source),
+w AS (SELECT source, source_size, ([3, 1, 2])[1 + (rk - 1) % 3] AS weight, 2 * source_size AS cap FROM s),
+o AS (SELECT *, sum(cap) OVER b AS given, sum(weight) OVER () - sum(weight) OVER b AS free, lead(cap / weight) OVER (ORDER BY cap / weight, source NULLS LAST) AS next_ratio
+  FROM w WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT 1.5 * sum(source_size) AS amount FROM s),
+c AS (SELECT (amount - given) / free AS level, next_ratio FROM o, a WHERE free > 0
+  UNION ALL SELECT (SELECT amount FROM a) / sum(weight), min(cap / weight) FROM w),
+g AS (SELECT max(level) AS level FROM c WHERE level <= next_ratio),
+b AS (SELECT source, source_size, least(cap::DOUBLE, weight * level) AS target FROM w, g),
+p AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t)
+SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target, (greatest(0, least(size, round(target)::BIGINT - before))
+  + greatest(0, least(size, round(target)::BIGINT - source_size - before)))::BIGINT AS taken
+FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source"""
+
+
+@query("op4_mixing", MIXING_SQL)
+def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(read(spark, sf, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
