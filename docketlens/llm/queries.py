@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketlens.llm import mixing, quality_rules, secret_index, simhash_variants
+from docketlens.llm import mixing, quality_rules, secret_index, simhash_variants, tree_bpe
 from docketlens.llm.words import read
 
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -98,3 +105,11 @@ FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source"""
 @query("op4_mixing", MIXING_SQL)
 def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(read(spark, sf, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_tree_bpe")
+def op8_tree_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return tree_bpe.encode(docs, vocabulary("word_bpe_49k.json"), "bare", keep=["doc_id"]).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
