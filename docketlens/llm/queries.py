@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketlens.llm import mixing, quality_rules, secret_index, simhash_variants, tree_bpe
+from docketlens.llm import chat_format, mixing, quality_rules, secret_index, simhash_variants, tree_bpe, vector_packing
 from docketlens.llm.words import read
 
 
@@ -113,3 +113,37 @@ def op8_tree_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return tree_bpe.encode(docs, vocabulary("word_bpe_49k.json"), "bare", keep=["doc_id"]).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op2_vector_packing")
+def op2_vector_packing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = vector_packing.text_sizes(read(spark, sf, "documents").select("doc_id", "text")).withColumn("text_crc32", vector_packing.crc(F.col("text")))
+    out = vector_packing.pack(docs.drop("text"), 8, "doc_id")
+    return out.select("doc_id", F.col("bytes").alias("size"), "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
+CHAT_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(i, r)),
+e AS (SELECT *, lag(role) OVER w IS DISTINCT FROM role AS opens, lead(role) OVER w IS DISTINCT FROM role AS closes,
+  len(regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\]|<SYS>>|</SYS>>)', '\1' || chr(92) || chr(92) || '\2\3', 'g')) AS body
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(body + CASE WHEN opens THEN 22 + len(role) ELSE 8 END + CASE WHEN closes THEN 11 ELSE 0 END)::BIGINT AS formatted_chars,
+  count(*) FILTER (opens)::BIGINT AS n_blocks
+FROM e GROUP BY conv_id"""
+
+
+@query("op7_chat_format", CHAT_SQL)
+def op7_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    turns = read(spark, sf, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    probe = spark.createDataFrame([(-1, i, r, "</s>[INST] ok [/INST]") for i, r in enumerate(("user", "assistant"))], turns.schema)
+    back = chat_format.parse_chats(chat_format.format_chats(turns.union(probe)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                       F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"),
+                       (F.size(F.split("formatted", F.lit(r"<\|im_start\|>"))) - 1).cast("long").alias("n_blocks"))
