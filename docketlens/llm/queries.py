@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketlens.llm import chat_format, mixing, quality_rules, secret_index, simhash_variants, tree_bpe, vector_packing
+from docketlens.llm import (chat_format, edit_embedding, mixing, quality_rules, secret_index, simhash_variants, token_frames, tree_bpe,
+                            vector_packing)
 from docketlens.llm.words import read
+from docketlens.session import checkpoint_dir
 
 
 def vocabulary(name: str) -> str:
@@ -147,3 +150,15 @@ def op7_chat_format(spark: SparkSession, sf: str) -> DataFrame:
                        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
                        F.length("formatted").cast("long").alias("formatted_chars"),
                        (F.size(F.split("formatted", F.lit(r"<\|im_start\|>"))) - 1).cast("long").alias("n_blocks"))
+
+
+@query("op9_token_frames")
+def op9_token_frames(spark: SparkSession, sf: str) -> DataFrame:
+    folder = f"{checkpoint_dir(spark)}/tokens-{uuid4().hex}"
+    manifest = token_frames.write_tokens(read(spark, sf, "documents"), folder, vocabulary("byte_bpe_50k.json"), "led", end_id=0)
+    return token_frames.read_tokens(spark, folder, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op6_edit_embedding")
+def op6_edit_embedding(spark: SparkSession, sf: str) -> DataFrame:
+    return edit_embedding.neighbours(read(spark, sf, "documents"))
