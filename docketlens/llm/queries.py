@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docketlens.llm import (chat_format, edit_embedding, mixing, quality_rules, secret_index, simhash_variants, token_frames, tree_bpe,
-                            vector_packing)
+                            url_validity, vector_packing)
 from docketlens.llm.words import read
 from docketlens.session import checkpoint_dir
 
@@ -162,3 +162,50 @@ def op9_token_frames(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_edit_embedding")
 def op6_edit_embedding(spark: SparkSession, sf: str) -> DataFrame:
     return edit_embedding.neighbours(read(spark, sf, "documents"))
+
+
+URL_SQL = r"""
+WITH c AS (SELECT page_id, url, DATE '2024-01-01' + ((page_id * 37) % 366)::INT AS fetched_on, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) AS host,
+  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)?', 1) AS path FROM pages),
+h AS (SELECT DISTINCT host, [strpos('0123456789abcdef', substr(md5(host), i, 1)) for i in range(1, 5)] AS d FROM c WHERE host <> ''),
+e AS (SELECT 'spam' AS list, 'block' AS action, 'domain' AS kind, host AS value, 'add' AS change, d[2] * 10 AS day FROM h WHERE d[1] <= 4
+  UNION ALL SELECT 'spam', 'block', 'domain', host, 'remove', d[2] * 10 + d[3] * 8 FROM h WHERE d[1] <= 4
+  UNION ALL SELECT 'spam', 'block', 'domain', host, 'add', d[2] * 10 + d[3] * 8 + d[4] * 5 FROM h WHERE d[1] <= 4 AND d[4] > 8
+  UNION ALL SELECT 'adult', 'block', 'domain', regexp_replace(host, '^(m|www|blog)\.', ''), 'add', 30 FROM h WHERE regexp_matches(host, 'casino|bets|pills')
+  UNION ALL SELECT 'trusted', 'allow', 'prefix', host || '/en', 'add', 31 + d[2] FROM h WHERE d[1] > 12),
+g AS (SELECT DISTINCT list, action, kind, value, change, DATE '2024-01-01' + day::INT AS day FROM e),
+v AS (SELECT list, action, kind, value, day AS valid_from, change, lead(day) OVER (PARTITION BY list, action, kind, value ORDER BY day) AS valid_to FROM g),
+s AS (SELECT page_id, url, fetched_on, host, path, string_split(host, '.') AS l, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM c WHERE host <> ''),
+k AS (SELECT page_id, fetched_on, 'domain' AS kind, unnest([array_to_string(l[i:], '.') for i in range(1, len(l))]) AS value FROM s
+  UNION ALL SELECT page_id, fetched_on, 'prefix', unnest([array_to_string(list_concat([host], p[1:i]), '/') for i in range(0, len(p) + 1)]) FROM s),
+f AS (SELECT page_id, count(*) AS n_hits, bool_or(action = 'block') AS blocked, bool_or(action = 'allow') AS allowed, min(list) AS first_list
+  FROM k JOIN v ON k.kind = v.kind AND k.value = v.value AND change = 'add' AND fetched_on >= valid_from AND (valid_to IS NULL OR fetched_on < valid_to) GROUP BY page_id)
+SELECT page_id, url, fetched_on::VARCHAR AS fetched_on, coalesce(n_hits, 0)::BIGINT AS n_hits, coalesce(blocked, false) AS blocked, coalesce(allowed, false) AS allowed,
+  first_list, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' ELSE 'none' END AS verdict FROM c LEFT JOIN f USING (page_id)"""
+
+
+def list_log(pages: DataFrame) -> DataFrame:
+    """A dated list derived from the hosts of the table: entries come and go on days that a hash of the host sets."""
+    hosts = pages.select(url_validity.host_of(F.col("url")).alias("host")).filter("host <> ''").distinct()
+    d = [F.position(F.substring(F.md5("host"), i, 1), F.lit("0123456789abcdef")) for i in range(1, 5)]
+
+    def entry(when, name, action, kind, value, change, day):
+        fields = {"list": F.lit(name), "action": F.lit(action), "kind": F.lit(kind), "value": value, "change": F.lit(change), "day": day}
+        return F.when(when, F.struct(*[c.alias(n) for n, c in fields.items()]))
+
+    host, first, second = F.col("host"), d[1] * 10, d[1] * 10 + d[2] * 8
+    entries = F.array(
+        entry(d[0] <= 4, "spam", "block", "domain", host, "add", first), entry(d[0] <= 4, "spam", "block", "domain", host, "remove", second),
+        entry((d[0] <= 4) & (d[3] > 8), "spam", "block", "domain", host, "add", second + d[3] * 5),
+        entry(host.rlike("casino|bets|pills"), "adult", "block", "domain", F.regexp_replace(host, r"^(m|www|blog)\.", ""), "add", F.lit(30)),
+        entry(d[0] > 12, "trusted", "allow", "prefix", F.concat(host, F.lit("/en")), "add", d[1] + 31))
+    flat = hosts.select(F.explode(F.array_compact(entries)).alias("e")).select("e.*")
+    return flat.withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), F.col("day"))).withColumn("seq", F.lit(0))
+
+
+@query("op5_url_validity", URL_SQL)
+def op5_url_validity(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read(spark, sf, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_on", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int")))
+    out = url_validity.judge(captures, list_log(pages))
+    return out.select("page_id", "url", F.col("fetched_on").cast("string").alias("fetched_on"), "n_hits", "blocked", "allowed", "first_list", "verdict")
