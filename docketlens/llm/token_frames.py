@@ -37,6 +37,8 @@ from docketlens.llm.words import shuffle_partitions
 
 FRAME_BYTES = 1 << 18
 LEVEL = 3
+# Words that a worker keeps encoded; most of the work is in words seen for the first time.
+CACHED = 1_000_000
 DOC_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 MANIFEST = "file_no int, name string, n_docs long, n_ids long"
 
@@ -142,7 +144,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, cut: str, end_id: int
         from pyarrow import fs
         from pyspark import TaskContext
 
-        units, end = Units.of(path, cut), np.array([end_id], "<u4").tobytes()
+        units, end = Units.of(path, cut, CACHED), np.array([end_id], "<u4").tobytes()
         store, base = fs.FileSystem.from_uri(folder)
         out = writer = None
         number = TaskContext.get().partitionId()

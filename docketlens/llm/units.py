@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -31,20 +32,21 @@ _loaded: dict[tuple[str, str], "Units"] = {}
 class Units:
     """A loaded vocabulary with its cache; one per worker process, path and cut."""
 
-    def __init__(self, path: str, cut: str):
+    def __init__(self, path: str, cut: str, max_cached: int = MAX_CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cut = cut
+        self.cut, self.max_cached = cut, max_cached
         self.ids: dict[str, bytes] = {}
 
     @classmethod
-    def of(cls, path: str, cut: str) -> "Units":
+    def of(cls, path: str, cut: str, max_cached: int = MAX_CACHED) -> "Units":
+        """``max_cached`` units are kept, at about 200 bytes each; a full cache starts again."""
         if (path, cut) not in _loaded:
-            _loaded[path, cut] = cls(path, cut)
+            _loaded[path, cut] = cls(path, cut, max_cached)
         return _loaded[path, cut]
 
     def split(self, text: str) -> list[str]:
@@ -54,12 +56,12 @@ class Units:
         """The ids of each text as little-endian 32-bit integers."""
         units = [self.split(t) for t in texts]
         new = set().union(*units).difference(self.ids)
-        if len(self.ids) + len(new) > MAX_CACHED:
+        if len(self.ids) + len(new) > self.max_cached:
             self.ids.clear()
             new = set().union(*units)
         new = list(new)
         for u, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.ids[u] = np.array(e.ids, "<u4").tobytes()
+            self.ids[u] = array("I", e.ids).tobytes()
         get = self.ids.__getitem__
         out = [b"".join(map(get, u)) for u in units]
         for u in new:
