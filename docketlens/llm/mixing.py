@@ -31,7 +31,7 @@ from docketlens.session import cut_lineage
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MAX_EPOCHS = 2
-SLICE_BITS = 14
+SLICE_BITS = 12
 
 
 def source_budgets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
