@@ -98,8 +98,9 @@ def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The documents of the mix: one row per copy taken, the last of a budget cut after its last word taken."""
     cols = docs.columns
     taken = mix(docs, seed, cols).withColumn("_copy", F.explode("copies"))
-    cut = F.col("_copy") < n_words(F.col("text"))
-    out = taken.withColumn("text", F.when(cut, first_words(F.col("text"), F.col("_copy"))).otherwise(F.col("text")))
+    taken = taken.withColumn("_cut", F.when(F.col("_copy") < n_words(F.col("text")), first_words(F.col("text"), F.col("_copy"))))
+    changed = {"text": F.coalesce("_cut", "text")}
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        changed["n_chars"] = F.coalesce(F.length("_cut").cast(docs.schema["n_chars"].dataType), "n_chars")
+    out = taken.withColumns(changed)
     return out.select(*[F.col(f"`{c}`") for c in cols])

@@ -7,7 +7,7 @@ share a variant. Equal variants are brought together by a shuffle on the variant
 is verified on all 64 bits. 64 short keys per distinct fingerprint find every link; there is no cap.
 
 Fingerprints that agree are collapsed first, so a group of exact copies is one row. Inside a run of equal
-variants only a spanning set of verified links is kept, never all pairs. A run longer than ``BLOCK`` is cut
+variants only a spanning set of verified links is kept, never all pairs. A run longer than ``block`` is cut
 into blocks and its block pairs are verified in separate tasks.
 
 Defined results:
@@ -22,6 +22,7 @@ Defined results:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -102,7 +103,7 @@ def _tree(fps: np.ndarray, other: np.ndarray | None = None) -> list[tuple[int, i
     return links
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
     """Sorted (key, fp) rows -> links of short runs (key NULL) and the members of long ones (b NULL)."""
 
     def links(pairs) -> pa.RecordBatch:
@@ -128,16 +129,16 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, fps = np.concatenate([rest_k, keys]), np.concatenate([rest_f, fps])
         # The last run may go on in the next batch.
         done = int(np.searchsorted(keys, keys[-1]))
-        yield from _whole_runs(keys[:done], fps[:done], links, members)
+        yield from _whole_runs(keys[:done], fps[:done], links, members, block)
         rest_k, rest_f = keys[done:], fps[done:]
-        if len(rest_k) > BLOCK:
+        if len(rest_k) > block:
             long_run = int(rest_k[0])
             yield members(long_run, rest_f)
             rest_k, rest_f = rest_k[:0], rest_f[:0]
-    yield from _whole_runs(rest_k, rest_f, links, members)
+    yield from _whole_runs(rest_k, rest_f, links, members, block)
 
 
-def _whole_runs(keys: np.ndarray, fps: np.ndarray, links, members) -> Iterator[pa.RecordBatch]:
+def _whole_runs(keys: np.ndarray, fps: np.ndarray, links, members, block: int) -> Iterator[pa.RecordBatch]:
     if len(keys) < 2:
         return
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -146,7 +147,7 @@ def _whole_runs(keys: np.ndarray, fps: np.ndarray, links, members) -> Iterator[p
     two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= MAX_BITS]
     found = list(zip(fps[two].view(np.int64).tolist(), fps[two + 1].view(np.int64).tolist()))
     for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-        if n > BLOCK:
+        if n > block:
             yield members(int(keys[s]), fps[s:s + n])
         else:
             found += _tree(fps[s:s + n])
@@ -154,16 +155,16 @@ def _whole_runs(keys: np.ndarray, fps: np.ndarray, links, members) -> Iterator[p
         yield links(found)
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): verified links between distinct fingerprints that connect all that is connected.
 
     The input has one column fp without repeats.
     """
     n = shuffle_partitions(fps.sparkSession)
     keyed = fps.select(F.explode(variants(F.col("fp"))).alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key")
-    out = cut_lineage(keyed.mapInArrow(_runs, "key int, a long, b long"))
+    out = cut_lineage(keyed.mapInArrow(partial(_runs, block=block), "key int, a long, b long"))
     hot = out.filter("key IS NOT NULL").select("key", F.col("a").alias("fp"))
-    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("n"))
+    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).alias("n"))
     placed = hot.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("fp", "key"), "n"))
     # A row of block i meets every block j: pair (least, greatest).
     pairs = placed.select("key", "fp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j")).select(
