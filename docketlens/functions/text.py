@@ -149,7 +149,9 @@ def shingles(c: Column | str, k: int = 4) -> Column:
 
     def grams(s: Column) -> Column:
         n = F.length(s)
-        every = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(k)))
+        # Characters as an array: a position in a string is found by counting from its start.
+        every = let(F.split(s, ""), lambda c: F.transform(
+            F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.concat(*[F.get(c, i + j) for j in range(k)])))
         return (F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(s)).otherwise(F.array_distinct(every)))
 
     return let(char_class_norm(c), grams)

@@ -20,12 +20,12 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str, slic
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    same = None
+    same = F.lit(True)
     numbered = cut.withColumn("_inside", F.row_number().over(inside))
     o = offsets.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_slice").alias("_o_slice"), "_offset")
     for k in keys:
         c = numbered[k].eqNullSafe(o[f"_o_{k}"])
-        same = c if same is None else same & c
+        same = same & c
     return (numbered.join(o, same & (numbered["_slice"] == o["_o_slice"]))
             .withColumn(out, (F.col("_inside") + F.col("_offset")).cast("long"))
             .drop("_slice", "_inside", "_offset", "_o_slice", *[f"_o_{k}" for k in keys]))

@@ -113,10 +113,10 @@ def commitments(docs: DataFrame, keys: list[str], text: str = "text") -> DataFra
             .select(*keys, "slot", "minutes", "value", "clause", "context", F.col("start").alias("position")))
 
 
-def time_requirements(docs: DataFrame, keys: list[str], text: str = "text", limit: int = 40) -> DataFrame:
+def time_requirements(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Distinct (slot, minutes) per document, first mention kept, with clause and mandatory flag.
 
-    ``limit`` is the feature's list length per document; ``total`` carries the full count.
+    All are returned, numbered per document; ``total`` carries the count for lists that show only the first.
     """
     from pyspark.sql import Window
 
@@ -125,7 +125,7 @@ def time_requirements(docs: DataFrame, keys: list[str], text: str = "text", limi
         F.min_by(F.struct("value", "clause"), "position").alias("m"), F.min("position").alias("position"))
     w = Window.partitionBy(*keys)
     ranked = (one.withColumn("found_no", F.row_number().over(w.orderBy("position")))
-              .withColumn("total", F.count("*").over(w)).filter(F.col("found_no") <= limit))
+              .withColumn("total", F.count("*").over(w)))
     return ranked.select(*keys, "slot", F.col("whole_minutes").alias("minutes"), "m.value", "m.clause",
                          tx.contains_any("m.clause", rules.MANDATORY_WORDS).alias("mandatory"), "found_no", "total")
 
@@ -134,7 +134,7 @@ def requirement_order() -> list[Column]:
     return [F.when(F.col("mandatory"), 0).otherwise(1), F.col("minutes")]
 
 
-def hard_requirements(docs: DataFrame, keys: list[str], text: str = "text", limit: int = 60) -> DataFrame:
+def hard_requirements(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Clauses marked as mandatory: table form, or section form with the text from the next lines."""
     from docketlens.operators import classify
 
@@ -157,7 +157,7 @@ def hard_requirements(docs: DataFrame, keys: list[str], text: str = "text", limi
     df = docs.filter(marked(F.col(text))).select(*keys, F.transform(tx.lines(text), tx.squeeze_space).alias("_l"))
     df = df.withColumn("_r", F.filter(F.transform("_l", parse), lambda r: r.isNotNull() & (F.length(r["name"]) >= 2)))
     df = df.withColumn("_r", tx.keep_first(F.col("_r"), lambda r: tx.left(tx.drop_space(F.concat(r["name"], r["value"])), 40)))
-    df = df.withColumn("total", F.size("_r")).withColumn("_r", F.transform(F.slice("_r", 1, limit), lambda r, i: F.struct(
+    df = df.withColumn("total", F.size("_r")).withColumn("_r", F.transform("_r", lambda r, i: F.struct(
         (i + 1).alias("item_no"), r["seq"].alias("seq"), tx.left(r["name"], 40).alias("name"),
         tx.left(F.coalesce(tx.non_empty(r["value"]), r["name"]), 160).alias("clause_text"), F.concat(r["name"], F.lit(" "), r["value"]).alias("_all"))))
     return (tx.unfold(df, "_r", [*keys, "total"]).withColumn("category", classify.clause_category("_all"))

@@ -12,10 +12,13 @@ class ForeignRows(RuntimeError):
 
 
 def write_csv(df: DataFrame, path: str, headers: dict[str, str]) -> None:
-    """Fixed headers, every value quoted with doubled quotes, BOM in front of each file's header."""
+    """Fixed headers, every value quoted with doubled quotes, BOM in front of each file's header.
+
+    The rows are rebalanced over parts of even size, so that no part is a header without rows.
+    """
     names = list(headers.items())
     out = df.select(*[F.col(c).alias(BOM + h if i == 0 else h) for i, (c, h) in enumerate(names)])
-    out.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    out.hint("rebalance").write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:

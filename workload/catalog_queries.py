@@ -128,9 +128,11 @@ def near_duplicates(spark, sf):
 
     d = v.read_spread(spark, sf, "documents")
     w = Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")
-    pool = d.withColumn("pool_rank", F.row_number().over(w)).filter("pool_rank <= 60")
-    got = identity.cluster_pool(pool.select("source", "pool_rank", "doc_id", "n_chars", "text"), ["source"], "text")
-    return got.groupBy("source", "cluster_no").agg(F.count("*").alias("copies"), F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("representative"))
+    # Every document is in a pool: pools of 60 neighbours by length, where near copies stand together.
+    ranked = d.withColumn("_rank", F.row_number().over(w) - 1)
+    pool = ranked.withColumn("pool", F.floor(F.col("_rank") / 60).cast("int")).withColumn("pool_rank", (F.col("_rank") % 60 + 1).cast("int"))
+    got = identity.cluster_pool(pool.select("source", "pool", "pool_rank", "doc_id", "n_chars", "text"), ["source", "pool"], "text")
+    return got.groupBy("source", "pool", "cluster_no").agg(F.count("*").alias("copies"), F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("representative"))
 
 
 OURS, RIVAL = "蓝鲸生物", "红杉基因"

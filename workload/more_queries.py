@@ -45,7 +45,7 @@ def fact_period_bounds(spark, sf):
 @query("scanned_periods", with_views(MT + """
 SELECT document_id, CASE m WHEN 0 THEN array_to_string(list_sort(list_distinct([ym, '2024-12'])), '|') WHEN 1 THEN '2023' WHEN 3 THEN ym ELSE '' END AS found FROM mt"""))
 def scanned_periods(spark, sf):
-    got = periods.scan_periods(F.lit("f"), "text", head=100_000)
+    got = periods.scan_periods(F.lit("f"), "text")
     return v.material_texts(spark, sf).select("document_id", F.array_join(got, "|").alias("found"))
 
 
