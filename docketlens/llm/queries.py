@@ -113,7 +113,7 @@ def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_tree_bpe")
 def op8_tree_bpe(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text")
-    return tree_bpe.encode(docs, vocabulary("word_bpe_49k.json"), "bare", keep=["doc_id"]).select(
+    return tree_bpe.encode(docs, vocabulary("word_bpe_49k.json"), "bare", keep=["doc_id"], cached=1_000_000).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 

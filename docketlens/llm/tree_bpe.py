@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from docketlens.llm.units import Units
+from docketlens.llm.units import MAX_CACHED, Units
 
 LONG = 65_536
 PIECE = 16_384
@@ -87,7 +87,7 @@ def batches_by_bytes(b: pa.RecordBatch, column: int, most: int) -> Iterator[pa.R
 
 
 def encode(docs: DataFrame, path: str, cut: str, text: str = "text", keep: list[str] | None = None,
-           long: int = LONG, piece: int = PIECE) -> DataFrame:
+           long: int = LONG, piece: int = PIECE, cached: int = MAX_CACHED) -> DataFrame:
     """The columns ``keep`` (all by default) with ``ids`` array<int> and ``decoded`` string."""
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")]
     rows = docs.select(F.struct(F.lit(True).alias("_there"), *[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("text"))
@@ -95,7 +95,7 @@ def encode(docs: DataFrame, path: str, cut: str, text: str = "text", keep: list[
     out = StructType([rows.schema["row"], *StructType.fromDDL("ids array<int>, decoded string")])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units.of(path, cut)
+        units = Units.of(path, cut, cached)
         for b in (p for whole in batches for p in batches_by_bytes(whole, 1, STEP_BYTES)):
             ids = units.encode([t or "" for t in b.column(1).to_pylist()])
             decoded = [units.decode(np.frombuffer(i, "<u4").tolist()) for i in ids]
@@ -116,7 +116,7 @@ def encode(docs: DataFrame, path: str, cut: str, text: str = "text", keep: list[
     triple = "ids array<int>, starts array<int>, ends array<int>"
 
     def encode_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units.of(path, cut)
+        units = Units.of(path, cut, cached)
         for b in batches:
             for r in b.to_pylist():
                 ids, spans = units.tokens(r["part"])
@@ -128,7 +128,7 @@ def encode(docs: DataFrame, path: str, cut: str, text: str = "text", keep: list[
     encoded = pieces.mapInArrow(encode_pieces, f"key string, no long, start int, part string, {triple}")
 
     def merge(table: pa.Table) -> pa.Table:
-        units, parts = Units.of(path, cut), sorted(table.to_pylist(), key=lambda r: r["no"])
+        units, parts = Units.of(path, cut, cached), sorted(table.to_pylist(), key=lambda r: r["no"])
         whole = "".join(p["part"] for p in parts)
         cuts = [p["start"] for p in parts] + [len(whole)]
         tokens = [(np.array(p["ids"], np.int64), np.stack([np.array(p["starts"], np.int64), np.array(p["ends"], np.int64)], axis=1)) for p in parts]
