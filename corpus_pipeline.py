@@ -38,8 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every row, with what they decode to."""
-    out = tree_bpe.encode(docs, vocabulary("word_bpe_49k.json"), "bare", keep=["doc_id", "source", "n_chars"])
+    """Ids of every row, with what they decode to; few words are kept per worker, which holds other stages' memory."""
+    out = tree_bpe.encode(docs, vocabulary("word_bpe_49k.json"), "bare", keep=["doc_id", "source", "n_chars"], cached=100_000)
     return out.select("doc_id", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -23,6 +23,8 @@ CUTS = {"bare": re.compile(f"[^{WHITE}]+"), "led": re.compile(f"[{WHITE}]*[^{WHI
 ODD = re.compile("[\x1c-\x1f]")
 PLAIN = {"bare": str.split, "led": re.compile(r"\s*\S+|\s+").findall}
 MAX_CACHED = 300_000
+# Units handed to the library at once: its results are many times larger than their ids.
+BATCH = 2048
 # Units longer than this are encoded but not kept.
 MAX_KEPT_CHARS = 256
 
@@ -60,8 +62,10 @@ class Units:
             self.ids.clear()
             new = set().union(*units)
         new = list(new)
-        for u, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.ids[u] = array("I", e.ids).tobytes()
+        for at in range(0, len(new), BATCH):
+            some = new[at:at + BATCH]
+            for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.ids[u] = array("I", e.ids).tobytes()
         get = self.ids.__getitem__
         out = [b"".join(map(get, u)) for u in units]
         for u in new:
