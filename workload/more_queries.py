@@ -22,13 +22,13 @@ def batch_candidates(spark, sf):
 
 
 @query("period_questions_answered", with_views("""
-, q AS (SELECT event_id AS question_id, event_type AS fact_type, CASE WHEN event_id % 2 = 0 THEN '2024-0' || (event_id % 5 + 1) ELSE '202' || (event_id % 4 + 3) END AS period FROM events WHERE event_id < 60)
+, q AS (SELECT event_id AS question_id, event_type AS fact_type, CASE WHEN event_id % 2 = 0 THEN '2024-0' || (event_id % 5 + 1) ELSE '202' || (event_id % 4 + 3) END AS period FROM events)
 SELECT question_id, count(*) AS facts, min(event_id) AS first_event FROM q JOIN facts f USING (fact_type) WHERE contains(fact_value, '~')
  AND ((ends_with(fact_value, '~') AND rtrim(fact_value, '~') <= period) OR (NOT ends_with(fact_value, '~') AND split_part(fact_value, '~', 1) <= period AND period <= split_part(fact_value, '~', 2)))
 GROUP BY 1"""))
 def period_questions(spark, sf):
     k = F.col("event_id")
-    q = v.read(spark, sf, "events").filter("event_id < 60").select(
+    q = v.read(spark, sf, "events").select(
         k.alias("question_id"), F.col("event_type").alias("fact_type"),
         F.when(k % 2 == 0, F.concat(F.lit("2024-0"), (k % 5 + 1).cast("string"))).otherwise(F.concat(F.lit("202"), (k % 4 + 3).cast("string"))).alias("period"))
     return material.covering_facts(v.facts(spark, sf), q).groupBy("question_id").agg(F.count("*").alias("facts"), F.min("event_id").alias("first_event"))
@@ -99,7 +99,7 @@ def project_summaries(spark, sf):
     return v.order_paths(spark, sf).select("project_folder").distinct().select("project_folder", classify.project_summary("project_folder").alias("summary"))
 
 
-@query("document_line_counts", """SELECT doc_id, len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END AS lines FROM documents WHERE text <> '' AND NOT contains(text, chr(13))""")
+@query("document_line_counts", """WITH t AS (SELECT doc_id, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents)
+SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, chr(10))) - CASE WHEN t LIKE '%' || chr(10) THEN 1 ELSE 0 END END AS lines FROM t""")
 def line_counts(spark, sf):
-    d = v.read(spark, sf, "documents").filter("text <> ''").filter(~F.contains("text", F.lit("\r")))
-    return d.select("doc_id", F.size(tx.lines("text")).alias("lines"))
+    return v.read(spark, sf, "documents").select("doc_id", F.size(tx.lines("text")).alias("lines"))

@@ -185,22 +185,21 @@ def module_commitments(spark, sf):
 
 
 @query("commitment_conflicts", with_views(slot_sql() + """
-SELECT module, slot, count(DISTINCT minutes) AS distinct_values, count(DISTINCT document_id) AS sources FROM ct WHERE document_id % 50 = 0 OR module = 'M1' GROUP BY ALL
+SELECT module, slot, count(DISTINCT minutes) AS distinct_values, count(DISTINCT document_id) AS sources FROM ct GROUP BY ALL
 HAVING count(DISTINCT minutes) > 1 AND count(DISTINCT document_id) >= 2"""))
 def commitment_conflicts(spark, sf):
-    t = commitment_texts(spark, sf).filter("document_id % 50 = 0 OR module = 'M1'")
-    return kb.conflicts(t, ["module"], "document_id", "text")
+    return kb.conflicts(commitment_texts(spark, sf), ["module"], "document_id", "text")
 
 
 TENDER = slot_sql() + """
-, hist AS (SELECT slot, min(minutes) AS strictest FROM ct WHERE document_id % 2 = 1 AND slot <> '质保' AND minutes > 2000 GROUP BY 1),
+, hist AS (SELECT slot, min(minutes) AS strictest FROM ct WHERE document_id % 2 = 1 GROUP BY 1),
 cmp AS (SELECT ct.*, CASE WHEN strictest IS NULL THEN 'uncovered' WHEN minutes >= strictest THEN 'covered' ELSE 'stricter' END AS verdict FROM ct LEFT JOIN hist USING (slot) WHERE document_id % 2 = 0)"""
 
 
 def compared(spark, sf):
     reqs = times.time_requirements(commitment_texts(spark, sf).filter("document_id % 2 = 0"), ["document_id"])
     past = times.time_requirements(commitment_texts(spark, sf).filter("document_id % 2 = 1"), ["document_id"])
-    return tender.compare_with_history(reqs, past.filter("slot <> '质保' AND minutes > 2000"))
+    return tender.compare_with_history(reqs, past)
 
 
 @query("requirements_vs_history", with_views(TENDER + "SELECT document_id, slot, minutes, verdict FROM cmp"))
