@@ -184,7 +184,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     distinct = fps.groupBy("fp").agg(F.min(id_col).alias("first_id"))
     roots = stars(links(distinct.select("fp")))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Written before the join, whose sides are then plain exchanges: a large component's partition can be split.
+    smallest = cut_lineage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     return fps.join(rooted.select("fp", "root").join(smallest, "root").drop("root"), "fp").select(id_col, "fp", "component_id")
 
 
