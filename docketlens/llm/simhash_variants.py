@@ -161,7 +161,8 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     The input has one column fp without repeats.
     """
     n = shuffle_partitions(fps.sparkSession)
-    keyed = fps.select(F.explode(variants(F.col("fp"))).alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key")
+    # Each row becomes 64, so rows are dealt out before that, not by the size they have now.
+    keyed = fps.repartition(n).select(F.explode(variants(F.col("fp"))).alias("key"), "fp").repartition(n, "key").sortWithinPartitions("key")
     out = cut_lineage(keyed.mapInArrow(partial(_runs, block=block), "key int, a long, b long"))
     hot = out.filter("key IS NOT NULL").select("key", F.col("a").alias("fp"))
     blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block)).alias("n"))
