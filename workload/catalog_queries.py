@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docketlens import rules
 from docketlens.functions import text as tx
-from docketlens.operators import classify, identity, sections
+from docketlens.operators import classify, identity, near_copies, sections
 from docketlens.sources import artifacts as art, catalog
 from workload import views as v
 from workload.registry import query
@@ -124,15 +124,7 @@ def turn_similarity(spark, sf):
 
 @query("near_duplicate_clusters")
 def near_duplicates(spark, sf):
-    from pyspark.sql import Window
-
-    d = v.read_spread(spark, sf, "documents")
-    w = Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id")
-    # Every document is in a pool: pools of 60 neighbours by length, where near copies stand together.
-    ranked = d.withColumn("_rank", F.row_number().over(w) - 1)
-    pool = ranked.withColumn("pool", F.floor(F.col("_rank") / 60).cast("int")).withColumn("pool_rank", (F.col("_rank") % 60 + 1).cast("int"))
-    got = identity.cluster_pool(pool.select("source", "pool", "pool_rank", "doc_id", "n_chars", "text"), ["source", "pool"], "text")
-    return got.groupBy("source", "pool", "cluster_no").agg(F.count("*").alias("copies"), F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("representative"))
+    return near_copies.clusters(v.read_spread(spark, sf, "documents").select("doc_id", "n_chars", "text"))
 
 
 OURS, RIVAL = "蓝鲸生物", "红杉基因"
