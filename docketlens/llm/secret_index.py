@@ -56,7 +56,10 @@ BASE = (
     Rule("hex", "[0-9a-f]+", min_chars=24),
 )
 RULES = BASE + (
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    # On to the END line; without one, over the header lines and base64 lines that follow.
+    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"
+                r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+                r"|(?:\s+[A-Za-z-]+:\x20[^\r\n]*)*(?:\s+[A-Za-z0-9+/=]{16,}(?![^\s]))*(?:\s+[A-Za-z0-9+/]*={1,2}(?![^\s]))?)"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
