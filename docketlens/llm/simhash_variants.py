@@ -26,7 +26,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docketlens.llm.components import stars
 from docketlens.llm.words import shuffle_partitions
@@ -195,17 +195,15 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id; all columns of the input.
+    """One document of each group of near duplicates, that with the smallest (id, digest of the text); all columns of the input.
 
-    Rows with equal ids are settled by their text. A row without an id stands behind all that have one, and
-    rows without an id and with the same text count as one.
+    Rows with equal ids but other texts are other documents. A row without an id stands behind all that have one. Of
+    rows with the same id and text one stays.
     """
-    cols = docs.columns
     no_id = F.col("doc_id").isNull()
-    key = F.struct(no_id.alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"),
-                   F.when(no_id, F.sha2(F.coalesce("text", F.lit("")), 256)).otherwise("").alias("digest"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), key.alias("_key"), F.col("text").alias("_text"))
-    found = near_duplicates(rows.select("_key", "_text"), "_key", "_text")
-    keep = found.filter("_key = component_id").select("_key").distinct()
-    first = Window.partitionBy("_key").orderBy("_text", F.xxhash64("_row"))
-    return rows.join(keep, "_key").withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").select("_row.*")
+    key = F.struct(no_id.alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key.alias("_key"), F.col("text").alias("_text"))
+    keep = near_duplicates(rows.select("_key", "_text"), "_key", "_text").filter("_key = component_id").select("_key").distinct()
+    # Copies of one row are combined before the shuffle; a NULL text stands before an empty one, then the row's hash decides.
+    first = F.min_by("_row", F.struct("_text", F.xxhash64("_row")))
+    return rows.groupBy("_key").agg(first.alias("_row")).join(keep, "_key", "left_semi").select("_row.*")
