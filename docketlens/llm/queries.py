@@ -7,8 +7,8 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docketlens.llm import (chat_format, edit_embedding, mixing, quality_rules, secret_index, simhash_variants, token_frames, tree_bpe,
-                            url_validity, vector_packing)
+from docketlens.llm import (chat_format, edit_embedding, mixing, quality_rules, secret_index, simhash_variants, sos_packing, structure_repair,
+                            token_frames, tree_bpe, url_validity, vector_packing)
 from docketlens.llm.words import read
 from docketlens.session import checkpoint_dir
 
@@ -209,3 +209,57 @@ def op5_url_validity(spark: SparkSession, sf: str) -> DataFrame:
     captures = pages.withColumn("fetched_on", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int")))
     out = url_validity.judge(captures, list_log(pages))
     return out.select("page_id", "url", F.col("fetched_on").cast("string").alias("fetched_on"), "n_hits", "blocked", "allowed", "first_list", "verdict")
+
+
+def _repair_sql() -> str:
+    """The same dynamic program as a recursive query; a state is (cost, audit, repaired turns), the least of which is kept."""
+
+    def add(state: str, cost: str, edit: str, line: str | None = None) -> str:
+        turns = f"list_append({state}.r, {line})" if line else f"{state}.r"
+        return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 'r': {turns}}} END"
+
+    def stay(state: str, role: str) -> str:
+        keep = add(state, "late", "K", "role || ':' || text")
+        reroled = add(state, "late + 1", "R", f"'{role}:' || text")
+        return f"CASE WHEN fault IN ('blank', 'duplicate') THEN NULL WHEN initial = '{role[0]}' THEN {keep} ELSE {reroled} END"
+
+    user, answer = "'user:'", "'assistant:'"
+    relaxed = f"""SELECT *, least(a, {add('u0', '5', 'I', answer)}) AS a0 FROM (SELECT *, least(u, {add('e', '5', 'I', user)}, {add('s', '5', 'I', user)},
+  {add('a', '5', 'I', user)}) AS u0 FROM v)"""
+    system = f"CASE WHEN initial = 's' AND coalesce(fault, '') NOT IN ('blank', 'duplicate') THEN {add('e', 'late', 'K', "role || ':' || text")} END"
+    return f"""
+WITH RECURSIVE tbl AS (SELECT list_transform(range(256), lambda n: list_reduce([n::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+    lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS code FROM conversations, tbl),
+d AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+  CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) FROM k WHERE code <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(text, 1, 32), sha256(text)) AS i FROM d),
+f AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault FROM p),
+r AS (SELECT *, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS late, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS two FROM f),
+v AS (SELECT DISTINCT conv_id, 0::BIGINT AS step, {{'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]}} AS e, NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR[]) AS s,
+    NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR[]) AS u, NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR[]) AS a FROM conversations
+  UNION ALL SELECT w.conv_id, step + 1, {add('e', '2', 'D')}, least({add('s', '2', 'D')}, {system}), least({add('u0', '2', 'D')}, {stay('e', 'user')}, {stay('s', 'user')},
+    {stay('a0', 'user')}), least({add('a0', '2', 'D')}, {stay('u0', 'assistant')}) FROM ({relaxed}) w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = step + 1),
+b AS (SELECT conv_id, least(e, a0) AS best FROM ({relaxed}) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY step DESC) = 1),
+c AS (SELECT conv_id, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (two IS NOT NULL AND two NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, best.c AS cost, best.a AS audit, sha256(array_to_string(best.r, chr(10))) AS repaired_sha256
+FROM b LEFT JOIN c ON b.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query("op11_structure_repair", _repair_sql())
+def op11_structure_repair(spark: SparkSession, sf: str) -> DataFrame:
+    turns = structure_repair.damage(read(spark, sf, "conversations"))
+    return structure_repair.summaries(structure_repair.repair(turns, "absent"), "absent")
+
+
+@query("op13_sos_packing")
+def op13_sos_packing(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = sos_packing.pack(read(spark, sf, "documents"), vocabulary("word_bpe_49k.json"), "bare", end_id=1, keep=["doc_id"])
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

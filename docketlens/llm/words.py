@@ -24,3 +24,11 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free_name(columns: list[str], base: str) -> str:
+    """``base``, longer where a column already has this name."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
