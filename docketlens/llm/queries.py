@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docketlens.llm import (chat_format, edit_embedding, mixing, quality_rules, secret_index, simhash_variants, sos_packing, structure_repair,
-                            token_frames, tree_bpe, url_validity, vector_packing)
+                            token_alignment, token_frames, tree_bpe, url_validity, vector_packing)
 from docketlens.llm.words import read
 from docketlens.session import checkpoint_dir
 
@@ -263,3 +263,9 @@ def op11_structure_repair(spark: SparkSession, sf: str) -> DataFrame:
 def op13_sos_packing(spark: SparkSession, sf: str) -> DataFrame:
     pieces = sos_packing.pack(read(spark, sf, "documents"), vocabulary("word_bpe_49k.json"), "bare", end_id=1, keep=["doc_id"])
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    out = token_alignment.align(read(spark, sf, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
