@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docketlens import rules
 from docketlens.functions import text as tx
+from docketlens.operators import intervals
 
 
 @dataclass(frozen=True)
@@ -119,22 +120,42 @@ def related_facts(facts: DataFrame, documents: DataFrame, cond: FactCondition, e
             .join(seen, ["relative_path", "_ev"], "left_anti").drop("_ev"))
 
 
-def calendar(low: int = rules.YEAR_MIN, high: int = rules.YEAR_MAX) -> list[str]:
-    """Every year and month a question can ask for."""
-    return [v for y in range(low, high + 1) for v in (str(y), *(f"{y}-{m:02d}" for m in range(1, 13)))]
+def fact_ranges(facts: DataFrame) -> DataFrame:
+    """Facts with a range as value, with its bounds ``low`` and ``high`` (NULL: open); the test is that of ``period_covers``."""
+    v = tx.strip(tx.text_or_empty("fact_value"))
+    open_end = v.endswith("~")
+    low = F.when(open_end, F.substring(v, F.lit(1), F.length(v) - 1)).otherwise(F.substring_index(v, "~", 1))
+    high = F.when(~open_end, F.regexp_replace(v, r"^[^~]*~", ""))
+    return (facts.filter(F.contains(v, F.lit("~")) & (F.substring_index(v, "~", 1) != ""))
+            .withColumns({"low": low, "high": high}))
 
 
-def covering_facts(facts: DataFrame, questions: DataFrame, low: int = rules.YEAR_MIN, high: int = rules.YEAR_MAX) -> DataFrame:
-    """Many period questions (question_id, fact_type, period) against range facts.
+def asked_periods(questions: DataFrame) -> DataFrame:
+    value = tx.strip(tx.text_or_empty("period"))
+    return questions.withColumn("value", value).filter("value <> ''")
 
-    Each distinct stored range is expanded once to the calendar values it covers, so the range
-    condition becomes an equality on (fact_type, period).
+
+def covering_facts(facts: DataFrame, questions: DataFrame) -> DataFrame:
+    """Many period questions (question_id, fact_type, period) against range facts: one row per question and fact.
+
+    Any year and precision; the interval join runs on distinct periods and ranges.
+    """
+    asked, ranges = asked_periods(questions), fact_ranges(facts)
+    met = intervals.stab(asked, ranges, ["fact_type"]).withColumnsRenamed({"low": "_low", "high": "_high"})
+    pairs = met.join(asked.select("question_id", "fact_type", "value"), ["fact_type", "value"]).drop("value")
+    same = (F.col("fact_type") == F.col("_type")) & (F.col("low") == F.col("_low")) & F.col("high").eqNullSafe(F.col("_high"))
+    return ranges.join(pairs.withColumnRenamed("fact_type", "_type"), same).drop("_type", "_low", "_high", "low", "high")
+
+
+def covering_counts(facts: DataFrame, questions: DataFrame, key: str) -> DataFrame:
+    """(question_id, facts, first): how many range facts cover each question, and the smallest ``key`` among them.
+
+    Facts are counted per type and range first, so no fact meets a question.
     """
-    ranges = facts.filter(F.contains(tx.text_or_empty("fact_value"), F.lit("~"))).select("fact_value").distinct()
-    values = F.array(*[F.lit(v) for v in calendar(low, high)])
-    spread = ranges.select("fact_value", F.explode(F.filter(values, lambda q: period_covers(q, F.col("fact_value")))).alias("period"))
-    wanted = questions.join(spread, "period").select("question_id", "fact_type", "fact_value")
-    return facts.join(wanted, ["fact_type", "fact_value"])
+    asked = asked_periods(questions)
+    ranges = fact_ranges(facts).groupBy("fact_type", "low", "high").agg(F.count("*").alias("facts"), F.min(key).alias("first"))
+    sums = intervals.stab_sums(asked, ranges, ["fact_type"], "facts", "first")
+    return asked.join(sums, ["fact_type", "value"]).select("question_id", F.col("n").alias("facts"), F.col("least").alias("first"))
 
 
 def fold_by_file(rows: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:

@@ -6,14 +6,41 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docketlens import rules
 from docketlens.functions import text as tx
+from docketlens.operators import matching
 
 Products = dict[str, tuple[str, ...]]
 
 
 def product_tag(text: Column | str, products: Products) -> Column:
     """First dictionary entry with an alias in the part before any exclusion (narrow before broad)."""
-    wanted = F.get(F.split(tx.text_or_empty(text), rules.EXCLUDE_TRIGGER, 2), F.lit(0))
-    return tx.first_rule(wanted, products.items(), nocase=True)
+    return tx.first_rule(wanted_part(text), products.items(), nocase=True)
+
+
+def wanted_part(text: Column | str) -> Column:
+    """The part of a question before any exclusion."""
+    return F.get(F.split(tx.text_or_empty(text), rules.EXCLUDE_TRIGGER, 2), F.lit(0))
+
+
+def tagged(questions: DataFrame, dictionary: DataFrame, text: str = "question", out: str = "product") -> DataFrame:
+    """Questions with the product of the first dictionary row (product, alias, priority) whose alias the wanted part contains.
+
+    Case is ignored. The dictionary is a table of any size; distinct questions meet its aliases by their rarest piece.
+    """
+    wanted = F.lower(wanted_part(text))
+    aliases = dictionary.select("product", "priority", F.lower("alias").alias("keyword"))
+    hits = matching.keyword_hits(questions.select(wanted.alias("text")), aliases.select("keyword"))
+    first = hits.join(aliases, "keyword").groupBy("text").agg(F.min(F.struct("priority", "product")).alias("p"))
+    first = first.select(F.col("text").alias("_wanted"), F.col("p.product").alias(out))
+    return questions.drop(out).withColumn("_w", wanted).join(first, F.col("_w") == F.col("_wanted"), "left").drop("_w", "_wanted")
+
+
+def saved_conditions(read: DataFrame, dictionary: DataFrame, key: str = "question_id") -> DataFrame:
+    """The condition rows (as ``saved.CONDITION``) of the questions that were read: a product's aliases are its keywords."""
+    words = dictionary.groupBy("product").agg(F.collect_set("alias").alias("keywords"))
+    none = F.array().cast("array<string>")
+    return read.filter("reject_reason IS NULL").join(words, "product").select(
+        F.col(key).cast("string").alias("query_id"), "keywords", "min_amount", "date_from", "date_to", "party_include", "party_exclude", "product_exclude",
+        none.alias("match_exclude"))
 
 
 def min_amount(text: Column | str) -> Column:
@@ -72,7 +99,7 @@ def product_term(term: Column, products: Products) -> Column:
         for a in aliases:
             hit = hit | (F.contains(term, F.lit(a)) & (F.length(term) - len(a) <= 6))
         out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out
+    return out if out is not None else F.lit(None).cast("string")
 
 
 def _starts_known(term: Column, products: Products, orgs: tuple[str, ...]) -> Column:
@@ -132,12 +159,16 @@ def scope_conditions(text: Column | str, products: Products, orgs: tuple[str, ..
                                   other)).alias("unresolved"))
 
 
-def conditions(questions: DataFrame, products: Products, orgs: tuple[str, ...] = (), text: str = "question") -> DataFrame:
-    """One row per question: product, minimum, dates, scope, or ``reject_reason``."""
+def conditions(questions: DataFrame, products: Products, orgs: tuple[str, ...] = (), text: str = "question", product: Column | None = None,
+               low: int = rules.YEAR_MIN, high: int = rules.YEAR_MAX) -> DataFrame:
+    """One row per question: product, minimum, dates, scope, or ``reject_reason``.
+
+    ``product``: the product found elsewhere (see ``tagged``); by default it is looked up in ``products``.
+    """
     t = tx.strip(tx.text_or_empty(text))
-    d = (questions.withColumn("_d", date_bounds(t)).withColumn("_label", unsupported_label(t))
+    d = (questions.withColumn("_d", date_bounds(t, low, high)).withColumn("_label", unsupported_label(t))
          .withColumn("_other", unsupported_label(t, [x for x in rules.UNSUPPORTED_CONDITIONS if x[0] not in rules.SCOPE_LABELS]))
-         .withColumn("_s", scope_conditions(t, products, orgs)).withColumn("product", product_tag(t, products))
+         .withColumn("_s", scope_conditions(t, products, orgs)).withColumn("product", product_tag(t, products) if product is None else product)
          .withColumn("_amount", min_amount(t)))
     scoped = F.col("_label").isin(*rules.SCOPE_LABELS)
     some = lambda f: F.size(f"_s.{f}") > 0

@@ -25,8 +25,8 @@ def located(spark, sf, cond):
                                    v.approved_documents(spark, sf))
 
 
-def result_columns(df):
-    return df.select("contract_id", "product", F.round("amount", 2).alias("amount"), "amount_status",
+def result_columns(df, *more):
+    return df.select(*more, "contract_id", "product", F.round("amount", 2).alias("amount"), "amount_status",
                      "amount_source", "hit", "skipped_reason", "document_role", "content_format", "contract_number",
                      "party_a", "party_b", "contract_date", "detail_evidence",
                      F.col("total_amount").cast("double").alias("total_amount"), "document_id", "project_folder")

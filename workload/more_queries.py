@@ -21,17 +21,51 @@ def batch_candidates(spark, sf):
     return got.select("document_id")
 
 
-@query("period_questions_answered", with_views("""
+COVERS = """contains(fact_value, '~') AND ((ends_with(fact_value, '~') AND rtrim(fact_value, '~') <= period)
+ OR (NOT ends_with(fact_value, '~') AND split_part(fact_value, '~', 1) <= period AND period <= split_part(fact_value, '~', 2)))"""
+
+
+@query("period_questions_answered", with_views(f"""
 , q AS (SELECT event_id AS question_id, event_type AS fact_type, CASE WHEN event_id % 2 = 0 THEN '2024-0' || (event_id % 5 + 1) ELSE '202' || (event_id % 4 + 3) END AS period FROM events)
-SELECT question_id, count(*) AS facts, min(event_id) AS first_event FROM q JOIN facts f USING (fact_type) WHERE contains(fact_value, '~')
- AND ((ends_with(fact_value, '~') AND rtrim(fact_value, '~') <= period) OR (NOT ends_with(fact_value, '~') AND split_part(fact_value, '~', 1) <= period AND period <= split_part(fact_value, '~', 2)))
-GROUP BY 1"""))
+SELECT question_id, count(*) AS facts, min(event_id) AS first_event FROM q JOIN facts f USING (fact_type) WHERE {COVERS} GROUP BY 1"""))
 def period_questions(spark, sf):
     k = F.col("event_id")
     q = v.read(spark, sf, "events").select(
         k.alias("question_id"), F.col("event_type").alias("fact_type"),
         F.when(k % 2 == 0, F.concat(F.lit("2024-0"), (k % 5 + 1).cast("string"))).otherwise(F.concat(F.lit("202"), (k % 4 + 3).cast("string"))).alias("period"))
-    return material.covering_facts(v.facts(spark, sf), q).groupBy("question_id").agg(F.count("*").alias("facts"), F.min("event_id").alias("first_event"))
+    return material.covering_counts(v.facts(spark, sf), q, "event_id").withColumnRenamed("first", "first_event")
+
+
+# Every order asks with its own date: days, months and years from outside any fixed calendar. Facts run from order to ship date.
+ORDER_RANGES = """, f AS (SELECT l_orderkey * 8 + l_linenumber AS fact_id, l_returnflag AS fact_type, strftime(o_orderdate, '%Y-%m-%d') || '~' || CASE WHEN l_linenumber % 3 = 0 THEN ''
+  WHEN l_linenumber % 3 = 1 THEN strftime(l_shipdate, '%Y-%m') ELSE strftime(l_shipdate, '%Y-%m-%d') END AS fact_value FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+q AS (SELECT o_orderkey AS question_id, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS period FROM orders)"""
+
+
+def ship_ranges(spark, sf):
+    li, o = v.read(spark, sf, "lineitem"), v.read(spark, sf, "orders")
+    n = F.col("l_linenumber") % 3
+    until = F.when(n == 0, "").when(n == 1, F.date_format("l_shipdate", "yyyy-MM")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
+    return li.join(o, li.l_orderkey == o.o_orderkey).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fact_id"), F.col("l_returnflag").alias("fact_type"),
+                                                            F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("~"), until).alias("fact_value"))
+
+
+def dated_questions(spark, sf):
+    k = F.col("o_orderkey") % 3
+    period = F.when(k == 0, F.date_format("o_orderdate", "yyyy")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    o, li = v.read(spark, sf, "orders"), v.read(spark, sf, "lineitem")
+    modes = li.groupBy("l_orderkey").agg(F.min("l_returnflag").alias("fact_type"))
+    return o.join(modes, o.o_orderkey == modes.l_orderkey).select(F.col("o_orderkey").alias("question_id"), "fact_type", period.alias("period"))
+
+
+# SQL compares each distinct (mode, period) with each distinct range.
+@query("dated_questions_counted", f"""WITH x AS (SELECT 1) {ORDER_RANGES},
+w AS (SELECT question_id, period, fact_type FROM q JOIN (SELECT l_orderkey, min(l_returnflag) AS fact_type FROM lineitem GROUP BY 1) ON l_orderkey = question_id),
+d AS (SELECT fact_type, fact_value, count(*) AS n, min(fact_id) AS least FROM f GROUP BY ALL), p AS (SELECT DISTINCT fact_type, period FROM w),
+a AS (SELECT fact_type, period, sum(n) AS facts, min(least) AS first_fact FROM p JOIN d USING (fact_type) WHERE {COVERS} GROUP BY ALL)
+SELECT question_id, facts::BIGINT AS facts, first_fact FROM w JOIN a USING (fact_type, period)""")
+def dated_questions_counted(spark, sf):
+    return material.covering_counts(ship_ranges(spark, sf), dated_questions(spark, sf), "fact_id").withColumnRenamed("first", "first_fact")
 
 
 @query("fact_period_bounds", with_views("""

@@ -331,7 +331,7 @@ per AS (SELECT query_id, count(*) FILTER (relevant) AS relevant, count(*) FILTER
 
 
 def per_query(spark, sf):
-    hits = saved.locate_many(v.contract_items(spark, sf), v.contracts(spark, sf), SAVED).filter("hit").select("query_id", "document_id")
+    hits = saved.locate_many(v.contract_items(spark, sf), v.contracts(spark, sf), saved.condition_table(spark, SAVED)).filter("hit").select("query_id", "document_id")
     queryable = modules.approved_contracts(v.contracts(spark, sf), v.approved_documents(spark, sf))
     return evaluate.recall(gold_rows(spark, sf), hits, queryable)
 
@@ -352,7 +352,7 @@ j AS (SELECT rk.*, g.contract_id IS NOT NULL AS ok FROM rk LEFT JOIN (SELECT que
 SELECT query_id, bool_or(ok AND rank <= 5) AS success, count(*) AS shown, count(*) FILTER (ok) AS relevant_shown, count(*) FILTER (NOT ok) AS unlabelled,
  round(count(*) FILTER (ok) / count(*), 4) AS precision, CAST(1.0 AS DOUBLE) AS precision_upper FROM j WHERE query_id IN (SELECT query_id FROM gold WHERE relevant) GROUP BY 1"""))
 def success_precision(spark, sf):
-    ranked = saved.locate_many(v.contract_items(spark, sf), v.contracts(spark, sf), SAVED).filter("hit")
+    ranked = saved.locate_many(v.contract_items(spark, sf), v.contracts(spark, sf), saved.condition_table(spark, SAVED)).filter("hit")
     return evaluate.precision_at(ranked, gold_rows(spark, sf), [F.col("amount").desc(), F.col("contract_id"), F.col("product")])
 
 
@@ -428,3 +428,50 @@ def reconciliation(spark, sf):
     file_amount = F.when(F.col("contract_date").isNotNull(), F.col("total_amount").cast("double"))
     got = evaluate.reconcile(v.contracts(spark, sf), v.contract_items(spark, sf), file_amount)
     return got.groupBy("verdict", "impossible").agg(F.count("*").alias("contracts"))
+
+
+# A question log about the products of ``part``: each name asks for a minimum, each type also for a date, at its mean retail price.
+LOG_SQL = """, q AS (SELECT p_name AS question_id, p_name AS kw, CAST(floor(avg(p_retailprice) * 20) AS DOUBLE) AS least, NULL AS date_to FROM part GROUP BY 1
+ UNION ALL SELECT p_type, p_type, CAST(floor(avg(p_retailprice) * 30) AS DOUBLE), '2000-03' FROM part GROUP BY 1),
+qk AS (SELECT DISTINCT question_id, contract_id, CASE WHEN contains(p_type, kw) THEN p_type ELSE p_name END AS product, contains(p_type, kw) AS by_category
+  FROM contract_items JOIN q ON contains(p_type, kw) OR contains(p_name, kw) WHERE row_type = 'detail'),
+qs AS (SELECT question_id, k.product, k.by_category, i.contract_id, sum(line_amount) FILTER (row_type='detail') AS d,
+   coalesce(bool_or(line_amount IS NULL) FILTER (row_type='detail'), FALSE) AS u,
+   arg_max(line_amount, (l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)) FILTER (row_type='product_subtotal' AND line_amount IS NOT NULL) AS s
+  FROM qk k JOIN contract_items i ON i.contract_id = k.contract_id AND contains(CASE WHEN k.by_category THEN i.p_type ELSE i.product_raw END, k.product) GROUP BY ALL),
+gate AS (SELECT c.*, CASE WHEN d.document_role NOT IN ('our_response','final_signed','contract_evidence') THEN 'role:' || d.document_role
+   WHEN d.parse_status IN ('holding_review','paused','blocked','skipped') THEN 'status:' || d.parse_status WHEN d.doc_subtype = 'framework_sample' THEN 'subtype:framework_sample'
+   WHEN a.sha256 <> d.canonical_document_id THEN 'content_version_mismatch' WHEN c.source_sha256 IS NULL OR c.parser_version IS NULL THEN 'fingerprint_missing'
+   WHEN c.source_sha256 <> d.canonical_document_id OR c.parser_version <> a.parser_version THEN 'fingerprint_stale' END AS reject_reason
+  FROM contracts c JOIN contract_documents d USING (document_id) JOIN contract_artifacts a ON a.canonical_document_id = d.canonical_document_id
+  WHERE substr(c.document_id, 1, 12) IN (SELECT id_prefix FROM approved_documents)),
+qg AS (SELECT q.question_id, q.least, g.* FROM gate g JOIN q ON q.date_to IS NULL OR contract_date <= q.date_to),
+res AS (SELECT question_id, g.contract_id, product, round(CAST(CASE WHEN by_category OR NOT u THEN d END AS DOUBLE), 2) AS amount,
+   CASE WHEN u THEN 'unknown' WHEN by_category AND abs(d - s) > 0.01 THEN 'conflict' ELSE 'ok' END AS amount_status, '' AS skipped_reason, least
+  FROM qg g JOIN qs USING (question_id, contract_id) WHERE reject_reason IS NULL
+ UNION ALL SELECT question_id, contract_id, '', NULL, 'skipped', reject_reason, least FROM qg WHERE reject_reason IS NOT NULL
+ UNION ALL SELECT question_id, contract_id, '', NULL, 'dataless', 'no_detail_lines', least FROM qg WHERE reject_reason IS NULL AND contract_id NOT IN (SELECT contract_id FROM contract_items))
+SELECT question_id AS query_id, contract_id, product, amount, amount_status, skipped_reason, coalesce(amount_status = 'ok' AND amount >= least, FALSE) AS hit FROM res"""
+
+
+def log_questions(spark, sf):
+    """(question_id, question) about every product name and type of ``part``, and the dictionary that names them."""
+    p = v.read(spark, sf, "part")
+    price = lambda times: F.floor(F.avg("p_retailprice") * times).cast("string")
+    names = p.groupBy(F.col("p_name").alias("question_id")).agg(price(20).alias("n")).select(
+        "question_id", F.concat("question_id", F.lit(" 合同"), "n", F.lit("元")).alias("question"), F.lit(1).alias("priority"))
+    kinds = p.groupBy(F.col("p_type").alias("question_id")).agg(price(30).alias("n")).select(
+        "question_id", F.concat("question_id", F.lit(" 合同"), "n", F.lit("元，2000年3月以前")).alias("question"), F.lit(2).alias("priority"))
+    asked = names.unionByName(kinds)
+    return asked.drop("priority"), asked.select(F.col("question_id").alias("product"), F.col("question_id").alias("alias"), "priority")
+
+
+@query("question_log_located", with_views(LOG_SQL))
+def question_log_located(spark, sf):
+    """Questions to conditions to contracts: the whole log in one plan, with every reason why a contract is no hit."""
+    asked, dictionary = log_questions(spark, sf)
+    tagged = querylog.tagged(asked, dictionary, out="tag")
+    read = querylog.conditions(tagged, {}, product=F.col("tag"), low=1990)
+    rows = saved.locate_all(v.contract_items(spark, sf), v.contracts(spark, sf), v.contract_documents(spark, sf), v.contract_artifacts(spark, sf),
+                            querylog.saved_conditions(read, dictionary), v.approved_documents(spark, sf))
+    return rows.select("query_id", "contract_id", "product", F.round("amount", 2).alias("amount"), "amount_status", "skipped_reason", "hit")

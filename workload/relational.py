@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docketlens.plans import answer, locate, material, mention, modules, saved, track
 from workload import views as v
-from workload.contracts import any_of, located, locate_sql
+from workload.contracts import RESULT_TAIL, any_of, located, locate_sql, result_columns
 from workload.registry import query
 from workload.sqlviews import with_views
 
@@ -266,10 +266,18 @@ def saved_sql(tail: str) -> str:
 
 @query("saved_queries_results", saved_sql("SELECT query_id, contract_id, product, amount, amount_status, hit FROM sr"))
 def saved_results(spark, sf):
-    return saved.locate_many(v.contract_items(spark, sf), v.contracts(spark, sf), SAVED).select(
+    return saved.locate_many(v.contract_items(spark, sf), v.contracts(spark, sf), saved.condition_table(spark, SAVED)).select(
         "query_id", "contract_id", "product", F.round("amount", 2).alias("amount"), "amount_status", "hit")
 
 
+@query("saved_queries_gated", "\nUNION ALL ".join(f"SELECT '{n}' AS query_id, * FROM ({locate_sql(c, RESULT_TAIL)})" for n, c in SAVED.items()))
+def saved_gated(spark, sf):
+    """Every saved condition with the qualification gate: hits, non-hits, rejected and line-less contracts."""
+    rows = saved.locate_all(v.contract_items(spark, sf), v.contracts(spark, sf), v.contract_documents(spark, sf), v.contract_artifacts(spark, sf),
+                            saved.condition_table(spark, SAVED), v.approved_documents(spark, sf))
+    return result_columns(rows, "query_id")
+
+
 @query("gold_path_suffix_join", with_views("""
 SELECT document_id, 'D:\\archive\\' || source_root_id || '\\' || replace(relative_path, '/', '\\') AS source_path
 FROM order_paths WHERE o_orderkey % 5 = 0"""))
