@@ -144,8 +144,8 @@ def char_class_norm(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(text_or_empty(c)), "[^0-9A-Za-z一-鿿]+", "")
 
 
-def shingles(c: Column | str, k: int = 4) -> Column:
-    """Set of character k-grams of the normalised text; the whole text when it is shorter."""
+def grams_of(c: Column | str, k: int = 4) -> Column:
+    """Set of character k-grams of a text; the whole text when it is shorter."""
 
     def grams(s: Column) -> Column:
         n = F.length(s)
@@ -154,7 +154,12 @@ def shingles(c: Column | str, k: int = 4) -> Column:
             F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.concat(*[F.get(c, i + j) for j in range(k)])))
         return (F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(s)).otherwise(F.array_distinct(every)))
 
-    return let(char_class_norm(c), grams)
+    return let(col(c), grams)
+
+
+def shingles(c: Column | str, k: int = 4) -> Column:
+    """Set of character k-grams of the normalised text."""
+    return grams_of(char_class_norm(c), k)
 
 
 def jaccard(a: Column, b: Column) -> Column:

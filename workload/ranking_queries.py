@@ -90,7 +90,47 @@ def pack_verdicts(spark, sf):
     return module_candidates(spark, sf).select("module", "section_id", "verdict")
 
 
-@query("evidence_packs")
+def selection_sql(pool: int, most: int, least: int, per_project: int, tail: str) -> str:
+    """The choice as two recursive steps: leaders in pool order, then representatives against those already taken."""
+    short = min(most, least)
+    body = VERDICT.replace("rank <= 25", f"rank <= {pool}") + f"""
+, pl AS (SELECT w.module, section_id, rank, verdict, coalesce(nullif(w.project_folder, ''), '?') AS project, CASE d.content_format WHEN 'native_text' THEN 0 WHEN 'mixed' THEN 1 WHEN 'scanned_ocr' THEN 2 ELSE 3 END AS fr,
+  w.text, length(w.text) AS tl, regexp_replace(lower(w.text), '[^0-9a-z一-鿿]+', '', 'g') AS nt FROM w JOIN text_documents d ON 'S' || d.document_id = section_id WHERE verdict IN ('heading', 'text')),
+gr AS (SELECT module, section_id, CASE WHEN length(nt) = 0 THEN [] WHEN length(nt) < 4 THEN [nt] ELSE list_distinct(list_transform(range(1, length(nt) - 2), lambda i: substr(nt, i, 4))) END AS g FROM pl),
+ug AS (SELECT module, section_id, len(g) AS n, unnest(g) AS x FROM gr),
+nr AS (SELECT a.module, a.section_id AS x, b.section_id AS y FROM ug a JOIN ug b ON a.module = b.module AND a.x = b.x AND a.section_id <> b.section_id
+  GROUP BY a.module, a.section_id, b.section_id, a.n, b.n HAVING count(*) >= 0.75 * (a.n + b.n - count(*))),
+nb AS (SELECT module, x, list(y) AS ys FROM nr GROUP BY ALL),
+o AS (SELECT pl.*, row_number() OVER (PARTITION BY pl.module, verdict ORDER BY rank) AS i, coalesce(ys, []::VARCHAR[]) AS ys FROM pl LEFT JOIN nb ON nb.module = pl.module AND x = section_id),
+ld AS (SELECT DISTINCT module, verdict, 0::BIGINT AS i, []::VARCHAR[] AS leaders, NULL::VARCHAR AS section_id, NULL::VARCHAR AS leader FROM o
+  UNION ALL SELECT module, verdict, n, CASE WHEN len(h) = 0 THEN list_append(leaders, sid) ELSE leaders END, sid, CASE WHEN len(h) = 0 THEN sid ELSE h[1] END
+  FROM (SELECT ld.module, ld.verdict, o.i AS n, leaders, o.section_id AS sid, list_filter(leaders, lambda l: list_contains(o.ys, l)) AS h FROM ld JOIN o ON o.module = ld.module AND o.verdict = ld.verdict AND o.i = ld.i + 1)),
+rp AS (SELECT o.module, o.verdict, leader, arg_max(o.section_id, (-fr, tl, o.section_id)) AS section_id, count(*) - 1 AS folded FROM o JOIN ld ON ld.module = o.module AND ld.section_id = o.section_id GROUP BY o.module, o.verdict, leader),
+rr AS (SELECT rp.*, o.project, o.ys, row_number() OVER (PARTITION BY rp.module ORDER BY rp.verdict = 'text', fr, -tl, rp.section_id) AS i FROM rp JOIN o ON o.module = rp.module AND o.section_id = rp.section_id),
+se AS (SELECT DISTINCT module, 0::BIGINT AS i, []::VARCHAR[] AS ids, []::VARCHAR[] AS projects, 0::BIGINT AS heads, 0::BIGINT AS dropped FROM rr
+  UNION ALL SELECT module, n, CASE WHEN op AND fits THEN list_append(ids, sid) ELSE ids END, CASE WHEN op AND fits THEN list_append(projects, project) ELSE projects END,
+   heads + CASE WHEN op AND fits AND verdict = 'heading' THEN 1 ELSE 0 END, dropped + CASE WHEN op AND NOT fits THEN 1 ELSE 0 END
+  FROM (SELECT se.module, rr.i AS n, ids, projects, heads, dropped, rr.section_id AS sid, rr.project, rr.verdict, len(ids) < CASE WHEN rr.verdict = 'text' THEN {short} ELSE {most} END AS op,
+    len(list_filter(projects, lambda p: p = rr.project)) < {per_project} AND NOT list_has_any(ids, rr.ys) AS fits FROM se JOIN rr ON rr.module = se.module AND rr.i = se.i + 1)),
+fi AS (SELECT * FROM se QUALIFY row_number() OVER (PARTITION BY module ORDER BY i DESC) = 1),
+fo AS (SELECT module, sum(folded) FILTER (verdict = 'heading') AS fh, sum(folded) FILTER (verdict = 'text') AS ft FROM rp GROUP BY 1),
+ev AS (SELECT fi.module, sid AS section_id, pick, dropped + coalesce(fh, 0) + CASE WHEN heads < {least} THEN coalesce(ft, 0) ELSE 0 END AS dropped
+  FROM (SELECT module, heads, dropped, unnest(ids) AS sid, generate_subscripts(ids, 1) AS pick FROM se JOIN (SELECT module, max(i) AS i FROM se GROUP BY 1) USING (module, i)) fi JOIN fo USING (module)),
+e AS (SELECT ev.*, o.verdict, o.project, o.text, o.tl, w.heading, w.project_folder, mp FROM ev JOIN o USING (module, section_id) JOIN w USING (module, section_id)
+  JOIN (VALUES {", ".join(f"('{m}', {i})" for i, m in enumerate(MODULES))}) AS m(module, mp) USING (module)),
+nu AS (SELECT *, 'E' || row_number() OVER (ORDER BY mp, pick) AS ref, CASE WHEN sum(tl) OVER () > 6000 THEN greatest(300, 6000 // count(*) OVER ()) ELSE 1200 END AS per FROM e),
+st AS (SELECT module, mp AS module_pos, coalesce(pool_size, 0) AS pool_size, coalesce(role_rejected, 0) AS role_rejected, coalesce(usable, 0) AS usable, coalesce(deduped, 0) AS deduped,
+   coalesce(heading_hits, 0) AS heading_hits, coalesce(dropped, 0) AS dropped_duplicates,
+   CASE WHEN coalesce(usable, 0) = 0 THEN 'insufficient' WHEN coalesce(heading_hits, 0) >= 3 THEN 'ok' ELSE 'sparse' END AS status
+  FROM (VALUES {", ".join(f"('{m}', {i})" for i, m in enumerate(MODULES))}) AS m(module, mp)
+  LEFT JOIN (SELECT module, count(*) AS pool_size, count(*) FILTER (verdict = 'role_rejected') AS role_rejected, count(*) FILTER (verdict IN ('heading', 'text')) AS usable FROM w GROUP BY 1) USING (module)
+  LEFT JOIN (SELECT module, count(*) AS deduped, count(*) FILTER (verdict = 'heading') AS heading_hits, max(dropped) AS dropped FROM e GROUP BY 1) USING (module))
+{tail}"""
+    return with_views(body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("evidence_packs", selection_sql(25, 5, 3, 2, """SELECT module, ref, pick, section_id, project_folder, verdict AS match_basis, least(per, tl) AS excerpt_chars, tl AS text_full_len,
+ per < 1200 AS truncated, dropped FROM nu"""))
 def evidence_packs(spark, sf):
     c = module_candidates(spark, sf)
     e = packs.select_evidence(c)
@@ -99,13 +139,15 @@ def evidence_packs(spark, sf):
                     F.length("excerpt").alias("excerpt_chars"), "text_full_len", "truncated", "dropped")
 
 
-@query("evidence_pack_status")
+@query("evidence_pack_status", selection_sql(25, 5, 3, 2, "SELECT * FROM st"))
 def evidence_status(spark, sf):
     c = module_candidates(spark, sf)
     return packs.pack_status(c, packs.select_evidence(c), MODULES)
 
 
-@query("extractive_draft")
+@query("extractive_draft", selection_sql(25, 5, 3, 2, """SELECT module, status, length(m) AS chars, md5(m) AS body_hash FROM (SELECT st.module, status, concat_ws(chr(10), '## ' || st.module,
+  CASE status WHEN 'insufficient' THEN '> 历史材料未覆盖本小节。' WHEN 'sparse' THEN '> 历史材料不足。' END, b) AS m FROM st LEFT JOIN (
+  SELECT module, string_agg('- ' || trim(substr(text, 1, per), chr(32) || chr(10) || chr(9) || chr(13)) || ' [' || ref || ']', chr(10) ORDER BY pick) AS b FROM nu GROUP BY 1) USING (module))"""))
 def extractive_draft(spark, sf):
     c = module_candidates(spark, sf)
     e = packs.select_evidence(c)
@@ -113,7 +155,10 @@ def extractive_draft(spark, sf):
     return packs.assemble(n, packs.pack_status(c, e, MODULES)).select("module", "status", F.length("markdown").alias("chars"), F.md5("markdown").alias("body_hash"))
 
 
-@query("module_headings_and_points")
+@query("module_headings_and_points", selection_sql(60, 30, 0, 3, """SELECT module, 'heading' AS kind, heading AS item FROM (
+  SELECT module, heading, row_number() OVER (PARTITION BY module ORDER BY n DESC, heading) AS r FROM (SELECT module, trim(heading) AS heading, count(*) AS n FROM e GROUP BY 1, 2) WHERE heading <> '') WHERE r <= 20
+ UNION ALL SELECT module, 'point', section_id FROM (SELECT module, section_id, row_number() OVER (PARTITION BY module, project_folder ORDER BY pick) AS r FROM e WHERE trim(text) <> '') WHERE r <= 3
+ UNION ALL SELECT module, 'coverage', CAST(count(DISTINCT section_id) AS VARCHAR) FROM e GROUP BY 1"""))
 def module_headings(spark, sf):
     e = packs.select_evidence(packs.candidates(sections_view(spark, sf), documents_view(spark, sf), MODULES, 60), 30, 0, 3)
     heads = kb.heading_frequency(e).select("module", F.lit("heading").alias("kind"), F.col("heading").alias("item"))
