@@ -247,6 +247,7 @@ c AS (SELECT *, (contains(name,'最终') OR contains(name,'定稿') OR contains(
 SELECT CASE WHEN NOT inv THEN 'only_catalog' WHEN NOT reg THEN 'only_inventory' ELSE 'both' END AS side, auto_role,
  CASE WHEN candidate THEN CASE WHEN reg AND manual_override = 1 THEN 'manual_override_requires_separate_review' WHEN auto_role = 'final_signed' THEN 'rule_eligible_pending_review'
   WHEN auto_role = 'unknown' THEN 'pending_review' WHEN auto_role = 'our_response' THEN 'response_final_status_unconfirmed' ELSE 'excluded_' || auto_role END ELSE 'not_a_candidate' END AS audit_status,
+ regexp_replace(path, '(?i)_\\d+\\.(?:jpg|jpeg|png)$', '.pdf') <> path AND EXISTS (SELECT 1 FROM c d WHERE d.root = c.root AND d.path = regexp_replace(c.path, '(?i)_\\d+\\.(?:jpg|jpeg|png)$', '.pdf')) AS has_sibling_pdf,
  count(*) AS files FROM c GROUP BY ALL""")
 def signature_audit(spark, sf):
     k = F.col("o_orderkey")
@@ -256,7 +257,7 @@ def signature_audit(spark, sf):
         F.when(k % 5 == 0, "final_signed").otherwise("unknown").alias("document_role"), F.when(k % 13 == 0, 1).otherwise(0).alias("manual_override"))
     audit = classify.signature_audit(files.filter("o_orderkey % 31 <> 0"), files.filter("o_orderkey % 37 <> 0"), VENDORS)
     audit = classify.with_sibling_flag(audit)
-    return audit.groupBy("side", "auto_role", F.coalesce("audit_status", F.lit("not_a_candidate")).alias("audit_status")).agg(F.count("*").alias("files"))
+    return audit.groupBy("side", "auto_role", F.coalesce("audit_status", F.lit("not_a_candidate")).alias("audit_status"), "has_sibling_pdf").agg(F.count("*").alias("files"))
 
 
 @query("page_texts_extracted", """

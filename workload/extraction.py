@@ -40,7 +40,7 @@ SELECT document_id, 'TCN' || strftime(o_orderdate, '%Y%m') || lpad(CAST(o_orderk
  '第' || n || '大学' AS party_a, CASE WHEN o_orderkey % 5 <> 0 THEN '第' || n || '检测公司' END AS party_b,
  CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS total_amount,
  CASE layout WHEN 0 THEN p_type || '检测' WHEN 1 THEN 'LC-MS-检测服务' END AS product,
- CASE WHEN year(o_orderdate) < 1996 OR year(o_orderdate) > 2000 THEN NULL ELSE strftime(o_orderdate, '%Y-%m') END AS id_month
+ CASE WHEN year(o_orderdate) = 2000 THEN strftime(o_orderdate, '%Y-%m') END AS id_month
 FROM ct"""))
 def contract_header_facts(spark, sf):
     name = tx.base_name("relative_path")
@@ -48,7 +48,7 @@ def contract_header_facts(spark, sf):
         "document_id", header.contract_number(name).alias("contract_number"), header.party("text", "甲").alias("party_a"),
         header.party("text", "乙").alias("party_b"), header.total_amount("text", name).alias("total_amount"),
         header.product_from_name(name).alias("product"),
-        F.when(F.year("o_orderdate").between(1996, 2000), F.date_format("o_orderdate", "yyyy-MM")).alias("id_month"))
+        header.id_year_month(name, 1996, 2000).alias("id_month"))
 
 
 def claim_states(spark, sf):
@@ -136,15 +136,24 @@ def candidate_lines(spark, sf):
         "doc_id", "line_no", "line", "prev")
 
 
-@query("redacted_numbers", """
-SELECT conv_id, turn, regexp_replace(regexp_replace('tel 13' || lpad(CAST(conv_id * 7919 % 1000000000 AS VARCHAR), 9, '0') || ' id ' || lpad(CAST(conv_id AS VARCHAR), 17, '1') || 'X ' || role,
-  '\\b1[3-9]\\d{9}\\b', '[手机号已打码]', 'g'), '\\b\\d{17}[\\dXx]\\b', '[身份证号已打码]', 'g') AS line FROM conversations""")
+# Whole texts of both tables, with a phone and an identity number behind each conversation turn.
+MASKED = "regexp_replace(regexp_replace(text, '\\b1[3-9]\\d{9}\\b', '[手机号已打码]', 'g'), '\\b\\d{17}[\\dXx]\\b', '[身份证号已打码]', 'g')"
+
+
+@query("redacted_numbers", f"""
+WITH t AS (SELECT 'c' || conv_id || ':' || turn AS id, text || ' tel 13' || lpad(CAST(conv_id * 7919 % 1000000000 AS VARCHAR), 9, '0') || ' id ' || lpad(CAST(conv_id AS VARCHAR), 17, '1') || 'X ' || role AS text FROM conversations
+ UNION ALL SELECT 'd' || doc_id, text FROM documents)
+SELECT id, md5({MASKED}) AS text_hash, len({MASKED}) - len(text) AS longer FROM t""")
 def redacted(spark, sf):
     from docketlens.operators import facts
 
-    line = F.concat(F.lit("tel 13"), F.lpad((F.col("conv_id") * 7919 % 1000000000).cast("string"), 9, "0"), F.lit(" id "),
-                    F.lpad(F.col("conv_id").cast("string"), 17, "1"), F.lit("X "), F.col("role"))
-    return v.read(spark, sf, "conversations").select("conv_id", "turn", facts.redact(line).alias("line"))
+    turns = v.read(spark, sf, "conversations").select(
+        F.concat(F.lit("c"), "conv_id", F.lit(":"), "turn").alias("id"),
+        F.concat("text", F.lit(" tel 13"), F.lpad((F.col("conv_id") * 7919 % 1000000000).cast("string"), 9, "0"), F.lit(" id "),
+                 F.lpad(F.col("conv_id").cast("string"), 17, "1"), F.lit("X "), F.col("role")).alias("text"))
+    docs = v.read(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    masked = facts.redact("text")
+    return turns.union(docs).select("id", F.md5(masked).alias("text_hash"), (F.length(masked) - F.length("text")).cast("long").alias("longer"))
 
 
 MT = """
@@ -207,35 +216,49 @@ def contract_catalog(spark, sf):
         "document_id", "relative_path", "text", F.lit("contract_evidence").alias("document_role"), F.lit("v2").alias("parser_version"), "o_orderkey")
 
 
-@query("contract_extraction_run", with_views(CT + """
-, ln AS (SELECT document_id, layout, l_returnflag, price FROM ct),
-a AS (SELECT 'detail' AS row_type, 'named' AS kind, CASE WHEN l_returnflag <> 'R' THEN CAST(price AS DECIMAL(18,2)) END AS amount FROM ln WHERE layout IN (0, 1)
-  UNION ALL SELECT 'detail', 'named', 21 FROM ln WHERE layout = 0 UNION ALL SELECT 'product_subtotal', 'named', CAST(price AS DECIMAL(18,2)) FROM ln WHERE layout = 0
-  UNION ALL SELECT 'detail', 'named', CAST(price AS DECIMAL(18,2)) FROM ln WHERE layout = 2 UNION ALL SELECT 'detail', 'named', NULL FROM ln WHERE layout = 2)
-SELECT row_type, count(*) AS rows, count(amount) AS known, CAST(sum(amount) AS DOUBLE) AS amount FROM a GROUP BY 1"""))
+# The lines of a contract as they are stored: a table without categories takes the product of the file name.
+LINES_SQL = """, ls AS (SELECT document_id, o_orderkey, p_type || '/' || p_name AS product_raw, l_quantity AS quantity, retail AS unit_price, CASE WHEN l_returnflag <> 'R' THEN price END AS line_amount, 'detail' AS row_type FROM ct WHERE layout = 0
+ UNION ALL SELECT document_id, o_orderkey, p_type || '/' || p_name || '-补', 2, 10.5, 21, 'detail' FROM ct WHERE layout = 0
+ UNION ALL SELECT document_id, o_orderkey, p_type || '/小计', NULL, NULL, price, 'product_subtotal' FROM ct WHERE layout = 0
+ UNION ALL SELECT document_id, o_orderkey, 'LC-MS-检测服务/' || p_name, l_quantity, NULL, CASE WHEN l_returnflag <> 'R' THEN price END, 'detail' FROM ct WHERE layout = 1
+ UNION ALL SELECT document_id, o_orderkey, '甲/' || p_name, NULL, retail, price, 'detail' FROM ct WHERE layout = 2
+ UNION ALL SELECT document_id, o_orderkey, '甲/' || p_name, l_quantity, retail, NULL, 'detail' FROM ct WHERE layout = 2)"""
+LINE_COLUMNS = "'CTL-' || document_id AS contract_id, product_raw, CAST(quantity AS DOUBLE) AS quantity, CAST(unit_price AS DOUBLE) AS unit_price, CAST(line_amount AS DOUBLE) AS line_amount, row_type"
+
+
+def line_columns(lines):
+    return lines.select("contract_id", "product_raw", F.col("quantity").cast("double").alias("quantity"), F.col("unit_price").cast("double").alias("unit_price"),
+                        F.col("line_amount").cast("double").alias("line_amount"), "row_type")
+
+
+@query("contract_extraction_run", with_views(CT + LINES_SQL + f" SELECT {LINE_COLUMNS} FROM ls"))
 def contract_extraction(spark, sf):
     from docketlens.plans import pipelines
 
-    lines = pipelines.contract_lines(contract_catalog(spark, sf))
-    return lines.groupBy("row_type").agg(F.count("*").alias("rows"), F.count("line_amount").alias("known"),
-                                         F.sum("line_amount").cast("double").alias("amount"))
+    return line_columns(pipelines.contract_lines(contract_catalog(spark, sf)))
 
 
-@query("missing_contract_backfill", with_views(CT + """
-SELECT count(DISTINCT document_id) AS documents, count(*) FILTER (TRUE) AS heads FROM ct WHERE o_orderkey % 3 = 0"""))
+@query("missing_contract_backfill", with_views(CT + LINES_SQL + f"""
+SELECT {LINE_COLUMNS}, NULL AS contract_number FROM ls WHERE o_orderkey % 3 = 0
+UNION ALL SELECT 'CTL-' || document_id, NULL, NULL, NULL, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE), 'head', 'TCN' || strftime(o_orderdate, '%Y%m') || lpad(CAST(o_orderkey AS VARCHAR), 6, '0')
+ FROM ct WHERE o_orderkey % 3 = 0"""))
 def missing_backfill(spark, sf):
+    """Contracts whose number occurs in a path only: their heads and their lines."""
     from docketlens.plans import pipelines
 
     docs = contract_catalog(spark, sf)
     known = docs.filter("o_orderkey % 3 <> 0").select(header.contract_number(tx.base_name("relative_path")).alias("contract_number"))
-    heads, _ = pipelines.missing_contracts(docs.drop("o_orderkey"), known, None)
-    return heads.agg(F.count_distinct("document_id").alias("documents"), F.count("*").alias("heads"))
+    heads, lines = pipelines.missing_contracts(docs.drop("o_orderkey"), known, None)
+    null = F.lit(None).cast("double")
+    named = heads.select("contract_id", F.lit(None).cast("string").alias("product_raw"), null.alias("quantity"), null.alias("unit_price"),
+                         F.col("total_amount").cast("double").alias("line_amount"), F.lit("head").alias("row_type"), "contract_number")
+    return line_columns(lines).withColumn("contract_number", F.lit(None).cast("string")).unionByName(named)
 
 
+# Dates and numbers are of this century: an older order has neither.
 @query("contract_dates", with_views(CT + """
-SELECT DISTINCT document_id, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m') END AS contract_date,
- CASE WHEN o_orderkey % 4 = 3 THEN 'contract_id' ELSE 'signature_page' END AS source FROM ct WHERE o_orderdate >= DATE '2000-01-01'"""))
+SELECT DISTINCT document_id, CASE WHEN year(o_orderdate) < 2000 THEN NULL WHEN o_orderkey % 4 IN (0, 1) THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m') END AS contract_date,
+ CASE WHEN year(o_orderdate) < 2000 THEN 'none' WHEN o_orderkey % 4 = 3 THEN 'contract_id' ELSE 'signature_page' END AS source FROM ct"""))
 def contract_dates(spark, sf):
-    d = v.contract_texts(spark, sf).filter("o_orderdate >= '2000-01-01'")
     got = header.contract_date("text", tx.base_name("relative_path"), 1995, 2030)
-    return d.withColumn("d", got).select("document_id", F.col("d.date").alias("contract_date"), F.col("d.source").alias("source")).distinct()
+    return v.contract_texts(spark, sf).withColumn("d", got).select("document_id", F.col("d.date").alias("contract_date"), F.col("d.source").alias("source")).distinct()

@@ -120,10 +120,10 @@ def outline_sections(spark, sf):
 
 @query("text_commitments_by_source", """
 SELECT source AS module, '响应' AS slot, count(DISTINCT doc_id % 40) AS distinct_values, CAST(min(doc_id % 40 + 1) * 60 AS DOUBLE) AS strictest,
- CAST(max(doc_id % 40 + 1) * 60 AS DOUBLE) AS longest, count(DISTINCT doc_id % 40) > 1 AS conflict FROM documents WHERE regexp_matches(text, '[0-9]') GROUP BY 1""")
+ CAST(max(doc_id % 40 + 1) * 60 AS DOUBLE) AS longest, count(DISTINCT doc_id % 40) > 1 AS conflict FROM documents WHERE text IS NOT NULL GROUP BY 1""")
 def text_commitments(spark, sf):
     """Time mentions in the documents themselves, with a unit word appended to their numbers."""
-    d = v.read_spread(spark, sf, "documents").filter(F.col("text").rlike("[0-9]")).select(
+    d = v.read_spread(spark, sf, "documents").select(
         F.col("doc_id").alias("document_id"), F.col("source").alias("module"), F.concat("text", F.lit("。响应"), (F.col("doc_id") % 40 + 1).cast("string"), F.lit("小时")).alias("text"))
     return kb.commitment_slots(kb.commitment_values(d, ["module"], "document_id", "text"), ["module"])
 

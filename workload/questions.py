@@ -84,13 +84,13 @@ def fact_questions(spark, sf):
 
 
 @query("instrument_models_resolved", """
-WITH q AS (SELECT DISTINCT event_id AS question_id, 'find ' || split_part(p, ' ', 2) || ' now' AS question FROM events JOIN (SELECT DISTINCT p_partkey, p_name AS p FROM part WHERE p_partkey < 50) ON event_id = p_partkey),
+WITH q AS (SELECT DISTINCT event_id AS question_id, 'find ' || split_part(p, ' ', 2) || ' now' AS question FROM events JOIN (SELECT DISTINCT p_partkey, p_name AS p FROM part) ON event_id = p_partkey),
 m AS (SELECT DISTINCT p_name AS model FROM part),
 t AS (SELECT question_id, unnest(list_filter(string_split(question, ' '), lambda x: length(x) >= 4)) AS f FROM q)
 SELECT DISTINCT question_id, model FROM t JOIN m ON contains(replace(model, ' ', ''), f)""")
 def instrument_models(spark, sf):
     p = v.read(spark, sf, "part")
-    e = v.read(spark, sf, "events").join(p.filter("p_partkey < 50"), F.col("event_id") == F.col("p_partkey"))
+    e = v.read(spark, sf, "events").join(p, F.col("event_id") == F.col("p_partkey"))
     q = e.select(F.col("event_id").alias("question_id"), F.concat(F.lit("find "), F.element_at(F.split("p_name", " "), 2), F.lit(" now")).alias("question"))
     return querylog.instrument_models(q, p.select(F.col("p_name").alias("model")), {"质谱仪": ("Orion",)})
 

@@ -88,14 +88,14 @@ m AS (SELECT contract_id, document_id, party_a, total_amount, contract_date,
 """
 
 
-def mentions(spark, sf):
+def mentions(spark, sf, answered=None):
     docs = v.text_documents(spark, sf)
     catalog = docs.select("document_id", "relative_path", "project_folder", "document_role", "content_format",
                           F.lit("done").alias("parse_status"), F.lit("").alias("doc_subtype"),
                           F.col("document_id").alias("canonical_document_id"))
     texts = docs.select(F.col("document_id").alias("canonical_document_id"), "text")
     return mention.mention_contracts(v.text_contracts(spark, sf), catalog, texts, v.text_contract_items(spark, sf),
-                                     MENTION, "thion", words=MENTION_WORDS)
+                                     MENTION, "thion", answered, words=MENTION_WORDS)
 
 
 @query("mention_contracts", with_views(MENTION_SQL + "SELECT contract_id, evidence_snippet FROM m"))
@@ -111,16 +111,19 @@ def mention_top(spark, sf):
 
 
 @query("contract_answer_groups", locate_sql(
-    locate.LocateCondition(keywords=("PROMO",), min_amount=60_000), """
+    locate.LocateCondition(keywords=("PROMO",), min_amount=60_000), MENTION_SQL + """
 , answer_claims AS (SELECT contract_id, CAST(c.document_id AS VARCHAR) AS document_id, party_a, CAST(total_amount AS DOUBLE) AS amount
    FROM claims c JOIN contract_documents d USING (document_id) WHERE d.document_role IN ('our_response','final_signed') AND total_amount >= 150000)
 SELECT 'contracts' AS result_group, contract_id, document_id, party_a, amount FROM results WHERE hit
-UNION ALL SELECT 'claims', contract_id, document_id, party_a, amount FROM answer_claims"""))
+UNION ALL SELECT 'claims', contract_id, document_id, party_a, amount FROM answer_claims
+UNION ALL SELECT 'mentions', contract_id, CAST(document_id AS VARCHAR), party_a, CAST(total_amount AS DOUBLE) FROM m
+ WHERE document_id NOT IN (SELECT document_id FROM text_contracts JOIN text_contract_items USING (contract_id) WHERE product_raw = 'other/basic')"""))
 def contract_answer(spark, sf):
     hits = located(spark, sf, locate.LocateCondition(keywords=("PROMO",), min_amount=60_000)).filter("hit")
     shown = claim_rows(spark, sf, track.ClaimCondition(min_amount=150_000)).filter("disposition = 'shown'")
-    none = mentions(spark, sf).filter(F.col("contract_date") > "2025").withColumn("document_id", F.col("document_id").cast("string"))
-    return answer.contract_answer(hits, shown, none).withColumn("amount", F.round("amount", 2))
+    other = v.text_contract_items(spark, sf).filter("product_raw = 'other/basic'").join(v.text_contracts(spark, sf), "contract_id").select("document_id")
+    named = mentions(spark, sf, other).withColumn("document_id", F.col("document_id").cast("string"))
+    return answer.contract_answer(hits, shown, named).withColumn("amount", F.round("amount", 2))
 
 
 @query("payment_status", with_views("""
