@@ -6,10 +6,14 @@ from the columns: parsing must return exactly what was written.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from docketlens.functions import text as tx
 from docketlens.operators import header, service_table
+from docketlens.session import checkpoint_dir, cut_lineage
+from docketlens.sources import snapshots
 from workload import views as v
 from workload.registry import query
 from workload.sqlviews import with_views
@@ -262,3 +266,89 @@ SELECT DISTINCT document_id, CASE WHEN year(o_orderdate) < 2000 THEN NULL WHEN o
 def contract_dates(spark, sf):
     got = header.contract_date("text", tx.base_name("relative_path"), 1995, 2030)
     return v.contract_texts(spark, sf).withColumn("d", got).select("document_id", F.col("d.date").alias("contract_date"), F.col("d.source").alias("source")).distinct()
+
+
+def run_folder(spark, name):
+    return f"{checkpoint_dir(spark)}/{name}-{uuid4().hex}"
+
+
+def all_kinds(spark, sf):
+    """Contracts, responses with ledgers, materials and numbered texts as one catalog of documents."""
+    def rows(df, kind, role, path, folder, fmt):
+        return df.select(F.concat(F.lit(kind), F.col("document_id").cast("string")).alias("document_id"), path.alias("relative_path"), role.alias("document_role"),
+                         folder.alias("project_folder"), fmt.alias("content_format"), F.lit("v2").alias("parser_version"), "text")
+
+    native = F.lit("native_text")
+    contract = v.contract_texts(spark, sf).dropDuplicates(["document_id"])
+    return (rows(contract, "C", F.lit("contract_evidence"), F.col("relative_path"), F.lit("p"), native)
+            .unionByName(rows(v.claim_texts(spark, sf), "L", F.lit("our_response"), F.concat(F.lit("业绩/"), F.col("document_id").cast("string")), F.lit("p"), native))
+            .unionByName(rows(v.material_texts(spark, sf), "M", F.col("document_role"), F.col("relative_path"), F.lit("p"), native))
+            .unionByName(rows(v.numbered_texts(spark, sf), "N", F.lit("our_response"), F.concat(F.lit("正文/"), F.col("document_id").cast("string")), F.col("project_key"), native)))
+
+
+_RUNS: dict[tuple[str, str], tuple] = {}
+
+
+def published_run(spark, sf):
+    """Two runs over two overlapping lots of the catalog; together they have seen every document.
+
+    A run publishes all tables, so the queries of one application read the same one.
+    """
+    key = spark.sparkContext.applicationId, sf
+    if key not in _RUNS:
+        _RUNS[key] = _run_twice(spark, sf)
+    return _RUNS[key]
+
+
+def _run_twice(spark, sf):
+    from docketlens.plans import pipelines
+
+    # A stored catalog has splits enough for its parsing; this one is made here and dealt by hand.
+    root, docs = run_folder(spark, "extraction"), cut_lineage(all_kinds(spark, sf).repartition(4 * spark.sparkContext.defaultParallelism))
+    lot = F.pmod(F.xxhash64("document_id"), F.lit(3))
+    pipelines.extraction_run(spark, docs.filter(lot != 0), root, 1995, 2030)
+    return root, pipelines.extraction_run(spark, docs.filter(lot != 1), root, 1995, 2030)
+
+
+def run_table(spark, sf, name):
+    root, version = published_run(spark, sf)
+    return snapshots.read(spark, root, name, version)
+
+
+@query("published_contracts", with_views(CT + """
+SELECT DISTINCT 'CTL-C' || document_id AS contract_id, 'TCN' || strftime(o_orderdate, '%Y%m') || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') AS contract_number, '第' || n || '大学' AS party_a,
+ CASE WHEN o_orderkey % 5 <> 0 THEN '第' || n || '检测公司' END AS party_b, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS total_amount,
+ CASE WHEN year(o_orderdate) < 2000 THEN NULL WHEN o_orderkey % 4 IN (0, 1) THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m') END AS contract_date FROM ct"""))
+def published_contracts(spark, sf):
+    return run_table(spark, sf, "contracts").select("contract_id", "contract_number", "party_a", "party_b", "total_amount", "contract_date")
+
+
+@query("published_lines", with_views(CT.replace("FROM lineitem", "FROM (SELECT DISTINCT * FROM lineitem)") + LINES_SQL + f" SELECT {LINE_COLUMNS.replace('CTL-', 'CTL-C')} FROM ls"))
+def published_lines(spark, sf):
+    return line_columns(run_table(spark, sf, "items"))
+
+
+@query("published_claims", with_views(LT + """
+SELECT 'L' || document_id AS document_id, 1 AS ordinal, party AS party_a, wan * 10000.0 AS total_amount FROM lt WHERE m IN (0, 1, 2)
+UNION ALL SELECT 'L' || document_id, 2, '北山医院', 80000.0 FROM lt WHERE m = 0 UNION ALL SELECT 'L' || document_id, 3, '西溪研究院', NULL FROM lt WHERE m = 0
+UNION ALL SELECT 'L' || document_id, 2, '西岸中心', yuan FROM lt WHERE m = 1"""))
+def published_claims(spark, sf):
+    return run_table(spark, sf, "claims").select("document_id", "ordinal", "party_a", "total_amount")
+
+
+@query("published_facts", with_views(MT + """
+SELECT 'M' || document_id AS document_id, fact_type, fact_value FROM (SELECT document_id, 'instrument_name' AS fact_type, 'Model' || n || '分析仪PLUS' AS fact_value FROM mt WHERE m = 2
+ UNION ALL SELECT document_id, 'instrument_purchase_contract', 'Zeta-' || n || ' 质谱采购合同' FROM mt WHERE m = 2
+ UNION ALL SELECT document_id, 'instrument', NULL FROM mt WHERE m = 2
+ UNION ALL SELECT document_id, 'social_security_month', CASE WHEN ym <= '2024-04' THEN ym END FROM mt WHERE m = 0
+ UNION ALL SELECT document_id, 'finance_period', NULL FROM mt WHERE m = 1
+ UNION ALL SELECT document_id, 'social_security_month', ym FROM mt WHERE m = 3
+ UNION ALL SELECT document_id, 'finance_amount', CAST(amount AS VARCHAR) FROM mt WHERE m = 1 AND amount >= 100)"""))
+def published_facts(spark, sf):
+    return run_table(spark, sf, "facts").filter("document_id LIKE 'M%'").select("document_id", "fact_type", "fact_value")
+
+
+@query("published_sections", with_views(SEC + """
+SELECT 'N' || doc_id AS document_id, heading, length(body) AS chars, md5(body) AS body_hash, CAST(line_no AS INT) AS line_no FROM sec WHERE role = 'content_section'"""))
+def published_sections(spark, sf):
+    return run_table(spark, sf, "sections").filter("document_id LIKE 'N%'").select("document_id", "heading", F.length("section_text").alias("chars"), F.md5("section_text").alias("body_hash"), "line_no")
