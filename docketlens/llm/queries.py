@@ -236,9 +236,9 @@ k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS
 d AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
   CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) FROM k WHERE code <> 0),
 p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(text, 1, 32), sha256(text)) AS i FROM d),
-f AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+f AS (SELECT *, substr(role, 1, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
   WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
-  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault FROM p),
+  WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' END AS fault FROM p),
 r AS (SELECT *, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS late, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS two FROM f),
 v AS (SELECT DISTINCT conv_id, 0::BIGINT AS step, {{'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]}} AS e, NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR[]) AS s,
     NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR[]) AS u, NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR[]) AS a FROM conversations
