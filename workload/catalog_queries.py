@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from docketlens import rules
 from docketlens.functions import text as tx
 from docketlens.operators import classify, identity, near_copies, sections
-from docketlens.sources import artifacts as art, catalog
+from docketlens.plans import batches
+from docketlens.session import cut_lineage
+from docketlens.sources import artifacts as art, catalog, compare
 from workload import views as v
 from workload.registry import query
 from workload.sqlviews import with_views
@@ -281,3 +283,53 @@ def cache_misses(spark, sf):
     known = pages.filter("document_id % 7 = 0").select("sha256", F.lit("x").alias("parser_name"), F.lit("1").alias("parser_version"))
     miss = art.cache_misses(pages, known, "x", "1").select("sha256")
     return pages.join(miss, "sha256").groupBy("sha256").agg(F.count("*").alias("pages"))
+
+
+CLEAN_SQL = """p AS (SELECT page_id, html FROM pages),
+a AS (SELECT page_id, html, regexp_replace(html, '<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'gis') AS t FROM p),
+b AS (SELECT page_id, html, regexp_replace(regexp_replace(t, '<(?:br|/p|/h[1-6]|/li|/tr|/div)\\b[^>]*>', chr(10), 'gi'), '<[^>]*>', ' ', 'gs') AS t FROM a),
+c AS (SELECT page_id, html, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM b),
+d AS (SELECT page_id, html, trim(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS t FROM c)"""
+
+
+@query("resumed_extraction", f"""WITH {CLEAN_SQL}, s AS (SELECT *, substr(sha256(html), 1, 1) AS x FROM d)
+SELECT CAST(page_id AS VARCHAR) AS document_id, CASE WHEN x = 'f' THEN 3 WHEN x IN ('0', '1', '2') THEN 2 WHEN x IN ('3', '4') THEN 2 ELSE 1 END AS attempts,
+ CASE WHEN x = 'f' THEN 3 WHEN x IN ('0', '1', '2') THEN 1 ELSE 0 END AS failures, CASE WHEN x = 'f' THEN 'failed' ELSE 'done' END AS status,
+ CASE WHEN x <> 'f' THEN sha256(html) END AS sha256, CASE WHEN x = 'f' THEN 'broken page' END AS error, CASE WHEN x <> 'f' THEN md5(t) END AS text_hash FROM s""")
+def resumed_extraction(spark, sf):
+    """Every page through an extractor that fails: some pages at the first attempt, some at every one, and a batch that dies before it ends.
+
+    Five batches over the log leave the texts of one clean run; what always fails is given up after three attempts.
+    """
+    digit = F.substring("sha256", 1, 1)
+    docs = v.read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("document_id"), "html", F.sha2("html", 256).alias("sha256"))
+
+    def extract(batch):
+        error = F.when(digit == "f", "broken page").when((F.col("attempt") == 1) & digit.isin("0", "1", "2"), "timeout")
+        return batch.select("document_id", "attempt", "sha256", F.when(error.isNull(), art.html_text("html")).alias("text"), error.alias("error"))
+
+    # The first batch dies: it had begun with some pages and ended none of them.
+    log = cut_lineage(batches.started(batches.due(docs.filter(digit.isin("3", "4")), spark.createDataFrame([], batches.LOG), 0), 10))
+    texts = None
+    for now in (5, 20, 40, 60):
+        log, got = batches.run(docs, log, extract, now, 10, cut_lineage)
+        texts = got if texts is None else texts.unionByName(got)
+    done = texts.filter("error IS NULL").select("document_id", F.md5("text").alias("text_hash"))
+    return batches.standing(log).join(done, "document_id", "left").select("document_id", "attempts", F.col("failures").cast("int").alias("failures"), "status", "sha256", "error", "text_hash")
+
+
+@query("catalog_tables_compared", with_views("""
+SELECT 'equal' AS case_name, 'none' AS side, NULL AS contract_number, 0 AS copies
+UNION ALL SELECT 'changed', x.side, contract_number, 1 FROM order_paths, (VALUES ('left'), ('right')) x(side) WHERE c_nationkey = 3
+UNION ALL SELECT 'changed', 'left', contract_number, 1 FROM order_paths WHERE c_nationkey = 5"""))
+def catalog_tables_compared(spark, sf):
+    """The catalog of contract files against the same catalog made another way, unchanged and changed: one nation's amounts differ, one nation is missing."""
+    o, c = v.read(spark, sf, "orders"), v.read(spark, sf, "customer")
+    left = v.order_paths(spark, sf).select("document_id", "contract_number", "total_amount", "c_nationkey")
+    paths = v.order_paths(spark, sf).select("document_id", "o_orderkey")
+    right = (o.join(c, o.o_custkey == c.c_custkey).join(paths, "o_orderkey")
+             .select("document_id", v.contract_number(F.col("o_orderkey"), F.col("o_orderdate")).alias("contract_number"), "c_nationkey", F.col("o_totalprice").cast(v.MONEY).alias("total_amount")))
+    changed = right.filter("c_nationkey <> 5").withColumn("total_amount", F.when(F.col("c_nationkey") == 3, F.col("total_amount") + 1).otherwise(F.col("total_amount")).cast(v.MONEY))
+    same = spark.createDataFrame([("equal", "none" if compare.same_tables(left, right, ["document_id"]) else "some", None, 0)], "case_name string, side string, contract_number string, copies int")
+    found = compare.differences(left, changed, ["document_id"])
+    return same.unionByName(found.select(F.lit("changed").alias("case_name"), "side", "contract_number", F.col("copies").cast("int").alias("copies")))
