@@ -39,15 +39,15 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_spans array<struct<start:int,end:int>>) from (conv_id, turn, role, text)."""
     entry = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(entry)).alias("turns"))
-    # A turn opens a block where its role differs from that of the turn before it.
-    opens = F.transform("turns", lambda t, i: (i == 0) | (F.get("turns", i - 1)["role"] != t["role"]))
-    closes = F.transform("turns", lambda t, i: (i == F.size("turns") - 1) | (F.get("turns", i + 1)["role"] != t["role"]))
-    marked = ordered.withColumns({"opens": opens, "closes": closes})
+    # A turn opens a block where its role differs from that of the turn before it, and closes one before a turn of another.
+    def other(t: Column, i: Column) -> Column:
+        return F.coalesce(F.get("turns", i)["role"] != t["role"], F.lit(True))
+
     pieces = F.transform("turns", lambda t, i: F.struct(
-        F.when(F.get("opens", i), F.concat(F.lit(START), escaped(t["role"]), F.lit(SEP))).otherwise(F.lit(TURN)).alias("head"),
-        escaped(t["text"]).alias("body"), F.when(F.get("closes", i), F.lit(END)).otherwise("").alias("tail"),
+        F.when(other(t, i - 1), F.concat(F.lit(START), escaped(t["role"]), F.lit(SEP))).otherwise(F.lit(TURN)).alias("head"),
+        escaped(t["text"]).alias("body"), F.when(other(t, i + 1), F.lit(END)).otherwise("").alias("tail"),
         (t["role"] == ASSISTANT).alias("loss")))
-    placed = marked.select("conv_id", pieces.alias("pieces")).select(
+    placed = ordered.select("conv_id", pieces.alias("pieces")).select(
         "conv_id", F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
         F.transform("pieces", lambda p: F.struct(F.length(p["head"]).alias("h"), F.length(p["body"]).alias("b"), F.length(p["tail"]).alias("t"),
                                                  p["loss"].alias("loss"))).alias("lengths"))
