@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from docketlens.llm.words import SPACE, WORD, n_words
+from docketlens.llm.words import SPACE, WORD, apart, n_words
 from docketlens.operators.skew import number_rows
 from docketlens.session import cut_lineage
 
@@ -96,6 +96,10 @@ def first_words(text: Column, n: Column) -> Column:
 
 def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The documents of the mix: one row per copy taken, the last of a budget cut after its last word taken."""
+    return apart(docs, ["doc_id", "source", "text", "n_chars"], lambda d: _mixed(d, seed))
+
+
+def _mixed(docs: DataFrame, seed: str) -> DataFrame:
     cols = docs.columns
     taken = mix(docs, seed, cols).withColumn("_copy", F.explode("copies"))
     taken = taken.withColumn("_cut", F.when(F.col("_copy") < n_words(F.col("text")), first_words(F.col("text"), F.col("_copy"))))

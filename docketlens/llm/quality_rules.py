@@ -24,7 +24,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docketlens.functions.text import let
-from docketlens.llm.words import SPACE, WORD, words
+from docketlens.llm.words import SPACE, WORD, apart, words
 
 # Phrases of page furniture and licence lines, in lower case.
 BOILERPLATE = ("all rights reserved", "licensed under", "released under", "we use cookies", "cookie policy", "privacy policy",
@@ -154,6 +154,10 @@ def judge(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFr
 
 def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Documents that pass, without their failed lines; the columns of the input, ``n_chars`` brought up to date."""
+    return apart(docs, ["text", "n_chars"], lambda d: _clean(d, rules))
+
+
+def _clean(docs: DataFrame, rules: Rules) -> DataFrame:
     cols = docs.columns
     src = docs.select(F.struct(*cols).alias("_row"), F.col("text"))
     out = judge(src, rules).filter("kept").select("_row.*", "clean_text").withColumn("text", F.col("clean_text"))

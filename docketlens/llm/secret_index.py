@@ -29,6 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
+from docketlens.llm.words import apart
+
 try:
     from re import _constants as sre, _parser as sre_parser
 except ImportError:  # before Python 3.11
@@ -56,13 +58,13 @@ BASE = (
     Rule("hex", "[0-9a-f]+", min_chars=24),
 )
 RULES = BASE + (
-    # On to the END line; without one, over the header lines and base64 lines that follow.
+    # Header lines and base64 lines, parted by white space or written-out line breaks, to the END line or as far as they go.
     Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"
-                r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+                r"(?:(?:\s+[A-Za-z-]+:\x20[^\r\n]*)*(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{16,})*(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{1,15})?(?:\s|\\[nr])*-----END (?:[A-Z]+ )*PRIVATE KEY-----"
                 r"|(?:\s+[A-Za-z-]+:\x20[^\r\n]*)*(?:\s+[A-Za-z0-9+/=]{16,}(?![^\s]))*(?:\s+[A-Za-z0-9+/]*={1,2}(?![^\s]))?)"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("login_url", r"://[A-Za-z0-9._%+-]+:[A-Za-z0-9._%+-]+@"),
 )
@@ -253,6 +255,10 @@ def span_list(spans: Column) -> Column:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with each secret replaced by its kind in brackets; NULL texts stay NULL."""
+    return apart(docs, ["text", "n_chars"], lambda d: _redact(d, rules))
+
+
+def _redact(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     out = scan(docs.withColumn("_null", F.col("text").isNull()), rules=rules, redacting=True).withColumn("text", F.when(~F.col("_null"), F.col("redacted_text")))
     if "n_chars" in docs.columns:
         hit = F.size("spans") > 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # A word is a longest run of characters other than these six.
@@ -32,3 +34,15 @@ def free_name(columns: list[str], base: str) -> str:
     while base.lower() in taken:
         base += "_"
     return base
+
+
+def apart(df: DataFrame, read: list[str], fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``fn`` on a table whose columns other than ``read`` have names that no step can clash with; they get theirs back.
+
+    Columns that ``fn`` adds stand behind and replace those of equal names.
+    """
+    safe = {c: c if c in read else f"_apart_{i}" for i, c in enumerate(df.columns)}
+    out = fn(df.select(*[F.col(f"`{c}`").alias(s) for c, s in safe.items()]))
+    added = [c for c in out.columns if c not in safe.values()]
+    kept = [(c, s) for c, s in safe.items() if s in out.columns and c not in added]
+    return out.select(*[F.col(f"`{s}`").alias(c) for c, s in kept], *[F.col(f"`{c}`") for c in added])
