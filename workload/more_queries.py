@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from uuid import uuid4
+
+from pyspark.sql import Window, functions as F
 
 from docketlens.functions import periods, text as tx
-from docketlens.operators import amounts, classify, sections
+from docketlens.operators import amounts, classify, sections, skew, times
 from docketlens.plans import kb, material, modules
+from docketlens.session import checkpoint_dir
+from docketlens.sources import artifacts, sinks
 from workload import views as v
+from workload.catalog_queries import CLEAN_SQL
 from workload.extraction import MT
+from workload.ranking_queries import commitment_texts, slot_sql
 from workload.registry import query
 from workload.sqlviews import with_views
 
@@ -92,10 +98,56 @@ def module_overview(spark, sf):
 
 @query("products_by_contract_order", with_views("""
 , r AS (SELECT contract_id, product_raw, sum(line_amount) AS amount FROM contract_items WHERE row_type = 'detail' GROUP BY ALL)
-SELECT contract_id, product_raw, CAST(amount AS DOUBLE) AS amount FROM r"""))
+SELECT contract_id, product_raw, CAST(amount AS DOUBLE) AS amount, row_number() OVER (PARTITION BY contract_id ORDER BY amount IS NULL, coalesce(amount, 0) DESC, product_raw) AS rank FROM r"""))
 def products_ordered(spark, sf):
     roll = amounts.product_rollup(v.contract_items(spark, sf)).select("contract_id", "product_raw", F.col("amount").cast("double").alias("amount"))
-    return roll.orderBy("contract_id", *modules.product_order())
+    return roll.withColumn("rank", F.row_number().over(Window.partitionBy("contract_id").orderBy(*modules.product_order())))
+
+
+@query("requirements_ranked", with_views(slot_sql() + """
+SELECT document_id, module, slot, minutes, row_number() OVER (PARTITION BY module ORDER BY NOT mandatory, minutes, document_id, slot) AS rank FROM ct"""))
+def requirements_ranked(spark, sf):
+    """Mandatory requirements first, then the strictest; a module with very many is numbered over range slices."""
+    texts = commitment_texts(spark, sf)
+    found = times.time_requirements(texts, ["document_id"]).join(texts.select("document_id", "module"), "document_id")
+    late, minutes = times.requirement_order()
+    rows = found.withColumns({"_late": late, "_minutes": minutes}).select("document_id", "module", "slot", "minutes", "_late", "_minutes")
+    return skew.number_rows(rows, ["module"], ["_late", "_minutes", "document_id", "slot"], "rank").drop("_late", "_minutes")
+
+
+@query("turns_exported_and_read", "SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, md5(text) AS text_hash FROM conversations WHERE text <> ''")
+def turns_exported(spark, sf):
+    """Whole texts with quotes and line breaks through the CSV export and back."""
+    folder = f"{checkpoint_dir(spark)}/export-{uuid4().hex}"
+    sinks.write_csv(v.read(spark, sf, "conversations").filter("text <> ''"), folder, {"conv_id": "会话", "turn": "轮次", "text": "正文"})
+    back = spark.read.schema("conv_id string, turn string, text string").option("header", True).option("multiLine", True).option("escape", '"').csv(folder)
+    return back.select("conv_id", "turn", F.md5("text").alias("text_hash"))
+
+
+@query("counts_reported_and_read", "SELECT event_type AS fact_type, count(*) AS facts FROM events GROUP BY 1")
+def counts_reported(spark, sf):
+    folder = f"{checkpoint_dir(spark)}/report-{uuid4().hex}"
+    sinks.write_report(v.facts(spark, sf).groupBy("fact_type").agg(F.count("*").alias("facts")), folder)
+    return spark.read.schema("fact_type string, facts long").json(folder)
+
+
+@query("extraction_outcomes", f"""WITH {CLEAN_SQL}
+SELECT page_id AS document_id, CASE WHEN page_id % 7 <> 0 OR sha256(html) IN (SELECT sha256(html) FROM pages WHERE page_id % 7 <> 0) THEN md5(t) END AS text_hash FROM d""")
+def extraction_outcomes(spark, sf):
+    """Every page with the text of its artifact; pages without an artifact stay, without a text."""
+    pages = v.read(spark, sf, "pages").select(F.col("page_id").alias("document_id"), F.col("html").alias("content"), F.sha2("html", 256).alias("sha256"))
+    none = spark.createDataFrame([], "sha256 string, parser_name string, parser_version string")
+    return artifacts.outcomes(pages, artifacts.extract_html(pages.filter("document_id % 7 <> 0"), none)).select("document_id", F.md5("text").alias("text_hash"))
+
+
+@query("material_models_asked", with_views("""
+SELECT 'resolved' AS question, event_id FROM facts JOIN fact_documents USING (document_id) WHERE fact_type = 'view' AND (fact_value ILIKE '%2024-01%' OR fact_value ILIKE '%~2024-03%')"""))
+def material_models_asked(spark, sf):
+    """Several models are an OR; a question that could not be resolved answers nothing, never everything."""
+    f, d = v.facts(spark, sf), v.fact_documents(spark, sf)
+    asked = {"resolved": material.FactCondition("view", models=("2024-01", "~2024-03")), "unresolved": material.FactCondition("view", unresolved=True)}
+    got = [material.material_facts(f, d, c).select(F.lit(n).alias("question"), "event_id") for n, c in asked.items()]
+    return got[0].unionByName(got[1])
 
 
 OUT = """
