@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docketlens import rules
@@ -28,7 +30,8 @@ def list_files(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
         raise UnreachableRoot("; ".join(missing))
     parts = []
     for root_id, path in roots.items():
-        base = path.rstrip("/") + "/"
+        # Roots may be URIs; like the listed paths they are compared without their scheme.
+        base = re.sub(r"^[a-z0-9]+:/*(?=/)", "", path.rstrip("/")) + "/"
         raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
                .select("path", "length", "modificationTime"))
         rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*(?=/)", ""), f"^.*?\\Q{base}\\E", "")

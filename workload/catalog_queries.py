@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from docketlens import rules
 from docketlens.functions import text as tx
 from docketlens.operators import classify, identity, near_copies, sections
 from docketlens.plans import batches
-from docketlens.session import cut_lineage
+from docketlens.session import checkpoint_dir, cut_lineage
 from docketlens.sources import artifacts as art, catalog, compare
+from docketlens.streaming import catalog_stream
 from workload import views as v
 from workload.registry import query
 from workload.sqlviews import with_views
@@ -333,3 +336,19 @@ def catalog_tables_compared(spark, sf):
     same = spark.createDataFrame([("equal", "none" if compare.same_tables(left, right, ["document_id"]) else "some", None, 0)], "case_name string, side string, contract_number string, copies int")
     found = compare.differences(left, changed, ["document_id"])
     return same.unionByName(found.select(F.lit("changed").alias("case_name"), "side", "contract_number", F.col("copies").cast("int").alias("copies")))
+
+
+@query("files_listed_and_streamed", """SELECT 'proj=' || (page_id % 5) AS project_folder, CAST(page_id AS VARCHAR) AS page, strlen(html) + 1 AS file_size, CAST(page_id % 2 AS INT) AS batch_id, 1 AS times
+FROM pages""")
+def files_listed_and_streamed(spark, sf):
+    """One file per page, listed from its folder; listings arrive in two lots (even pages, then all) and a third run finds nothing new."""
+    base = f"{checkpoint_dir(spark)}/listing-{uuid4().hex}"
+    v.read(spark, sf, "pages").select((F.col("page_id") % 5).alias("proj"), F.col("page_id").alias("page"), "html").write.partitionBy("proj", "page").text(f"{base}/files")
+    page = F.regexp_extract("relative_path", "page=([0-9]+)", 1)
+    found = cut_lineage(catalog.list_files(spark, {"R": f"{base}/files"}))
+    for lot in (found.filter(page.cast("long") % 2 == 0), found, None):
+        if lot is not None:
+            lot.write.mode("append").json(f"{base}/listings")
+        catalog_stream.refresh_stream(spark, f"{base}/listings", f"{base}/store", f"{base}/checkpoint").awaitTermination()
+    stored = spark.read.parquet(f"{base}/store")
+    return stored.groupBy("project_folder", page.alias("page"), "file_size", F.col("batch_id").cast("int").alias("batch_id")).agg(F.count("*").cast("int").alias("times"))
