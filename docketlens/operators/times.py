@@ -144,15 +144,21 @@ def hard_requirements(docs: DataFrame, keys: list[str], text: str = "text") -> D
         in_table = s.rlike(tx.rx(rules.MARKED_TABLE_ROW))
         cell = lambda g: tx.strip(F.regexp_extract(s, tx.rx(rules.MARKED_TABLE_ROW), g))
         raw = tx.strip(F.regexp_extract(s, tx.rx(rules.MARKED_SECTION), 1))
-        name = F.regexp_extract(raw, r"^([^：:，,。；;]+)[：:，,。；;]", 1)
-        rest = F.substring(raw, F.length(name) + 2, F.length(raw))
-        following = F.slice("_l", i + 2, 5)
-        stop = F.array_position(F.transform(following, lambda n: (n == "") | marked(n)), True).cast("int")
-        body = tx.left(F.array_join(F.when(stop > 0, F.slice(following, F.lit(1), stop - 1)).otherwise(following), " "), 160)
-        section = F.when(name != "", F.struct(F.lit("").alias("seq"), tx.strip(name).alias("name"), tx.strip(rest).alias("value"))).otherwise(
-            F.struct(F.lit("").alias("seq"), raw.alias("name"), body.alias("value")))
-        return F.when(marked(s) & in_table, F.struct(cell(1).alias("seq"), cell(2).alias("name"), cell(3).alias("value"))).when(
-            marked(s) & s.rlike(tx.rx(rules.MARKED_SECTION)), section)
+
+        def body() -> Column:
+            def before_stop(following: Column) -> Column:
+                stop = F.array_position(F.transform(following, lambda n: (n == "") | marked(n)), True).cast("int")
+                return tx.let(stop, lambda at: F.when(at > 0, F.slice(following, F.lit(1), at - 1)).otherwise(following))
+
+            return tx.left(F.array_join(tx.let(F.slice("_l", i + 2, 5), before_stop), " "), 160)
+
+        # Values used more than once are bound: inside a lambda nothing is shared.
+        section = lambda x: F.when(x["name"] != "", F.struct(F.lit("").alias("seq"), tx.strip(x["name"]).alias("name"), tx.strip(
+            F.substring(x["raw"], F.length(x["name"]) + 2, F.length(x["raw"]))).alias("value"))).otherwise(
+            F.struct(F.lit("").alias("seq"), x["raw"].alias("name"), body().alias("value")))
+        cut = tx.let(tx.let(raw, lambda r: F.struct(r.alias("raw"), F.regexp_extract(r, r"^([^：:，,。；;]+)[：:，,。；;]", 1).alias("name"))), section)
+        return F.when(marked(s), F.when(in_table, F.struct(cell(1).alias("seq"), cell(2).alias("name"), cell(3).alias("value"))).when(
+            s.rlike(tx.rx(rules.MARKED_SECTION)), cut))
 
     df = docs.filter(marked(F.col(text))).select(*keys, F.transform(tx.lines(text), tx.squeeze_space).alias("_l"))
     df = df.withColumn("_r", F.filter(F.transform("_l", parse), lambda r: r.isNotNull() & (F.length(r["name"]) >= 2)))

@@ -146,3 +146,12 @@ def test_amount_cells(spark):
     n = service_table.leading_number("text")
     for s, want in {"44,000.00 元": 44000.0, "3.5万": None, "小写：1": None, "": None, "-2": -2.0}.items():
         assert one(spark, s, n) == want
+
+
+def test_marked_requirements_bind_their_parts(spark):
+    from docketlens.operators import times
+
+    docs = spark.createDataFrame([(1, "★售后服务（清单）\n第一行\n第二行\n\n不属于\n▲1、资质：证书")], "document_id int, text string")
+    got = times.hard_requirements(docs, ["document_id"])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("[^：:，,。；;]+") == 1
+    assert [(r["name"], r["clause_text"]) for r in got.orderBy("item_no").collect()] == [("售后服务（清单）", "第一行 第二行"), ("1、资质", "证书")]
