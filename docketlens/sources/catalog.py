@@ -2,34 +2,95 @@
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Iterator
+from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docketlens import rules
 from docketlens.functions import text as tx
 from docketlens.operators import classify, identity
+from docketlens.session import cut_lineage
+from docketlens.sources.sinks import local_path
 
 
 class UnreachableRoot(RuntimeError):
     """A listed root does not exist; nothing is written in that run."""
 
 
+def _hidden(name: str) -> bool:
+    """The names that Spark's file sources pass over."""
+    passed = name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+    return passed and not name.startswith(("_common_metadata", "_metadata"))
+
+
+_ENTRY = pa.schema([("source_root_id", pa.string()), ("base", pa.string()), ("relative_path", pa.string()), ("is_folder", pa.bool_()),
+                    ("file_size", pa.int64()), ("file_mtime", pa.timestamp("us", "UTC"))])
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source_root_id, base, folder) -> what lies directly in the folder; a folder of very many files passes in pieces."""
+    for b in batches:
+        rows = []
+        for root, base, folder in zip(*(b.column(c).to_pylist() for c in ("source_root_id", "base", "relative_path"))):
+            with os.scandir(os.path.join(base, folder)) as found:
+                for e in found:
+                    try:
+                        state = e.stat()
+                    except FileNotFoundError:  # gone since, or a link to nothing
+                        continue
+                    if not _hidden(e.name):
+                        name = os.fsencode(e.name).decode("utf-8", "replace")
+                        at = datetime.fromtimestamp(state.st_mtime_ns // 1_000_000_000, timezone.utc).replace(microsecond=state.st_mtime_ns // 1_000_000 % 1000 * 1000)
+                        rows.append((root, base, f"{folder}/{name}" if folder else name, e.is_dir(), state.st_size, at))
+                    if len(rows) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ENTRY)], schema=_ENTRY)
+                        rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ENTRY)], schema=_ENTRY)
+
+
+def _list_folders(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """One round per level of folders: tasks list the folders of the level, the driver sees how many there are."""
+    slots = spark.sparkContext.defaultParallelism
+    level = spark.createDataFrame([(r, base, "") for r, base in roots.items()], "source_root_id string, base string, relative_path string")
+    levels, folders = [], len(roots)
+    while folders:
+        found = cut_lineage(level.repartition(min(folders, 4 * slots)).mapInArrow(
+            _entries, "source_root_id string, base string, relative_path string, is_folder boolean, file_size long, file_mtime timestamp"))
+        levels.append(found.filter("NOT is_folder").select("source_root_id", "relative_path", "file_size", "file_mtime"))
+        level = found.filter("is_folder").select("source_root_id", "base", "relative_path")
+        folders = level.count()
+    out = levels[0]
+    for one in levels[1:]:
+        out = out.unionByName(one)
+    return out
+
+
 def list_files(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     """Recursive listing of every root; file contents are never read.
 
-    A missing root stops the whole run before any row is produced.
+    A missing root stops the whole run before any row is produced. Folders that every machine mounts are listed in tasks; in other
+    stores Spark's file source lists them.
     """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    missing = []
+    missing, local = [], {}
     for root_id, path in roots.items():
         p = jvm.org.apache.hadoop.fs.Path(path)
-        if not p.getFileSystem(conf).exists(p):
+        fs = p.getFileSystem(conf)
+        if not fs.exists(p):
             missing.append(f"{root_id} -> {path}")
+        elif fs.getFileStatus(p).isDirectory() and (folder := local_path(spark, path)):
+            local[root_id] = folder
     if missing:
         raise UnreachableRoot("; ".join(missing))
-    parts = []
+    parts = [_list_folders(spark, local)] if local else []
     for root_id, path in roots.items():
+        if root_id in local:
+            continue
         # Roots may be URIs; like the listed paths they are compared without their scheme.
         base = re.sub(r"^[a-z0-9]+:/*(?=/)", "", path.rstrip("/")) + "/"
         raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

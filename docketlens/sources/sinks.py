@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections import Counter
+from collections.abc import Iterator
+from hashlib import md5
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BOM = "﻿"
@@ -32,6 +40,44 @@ def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = No
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """The path for a program's own file calls if it is in the file system that all machines mount, else None."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(p).toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+
+def write_files(df: DataFrame, path: str, folders: list[str], content: str) -> None:
+    """One file per row in folders ``column=value``, the text and a line feed in it; NULL is an empty text.
+
+    Spark's text writer makes several processes and renames per file in a local file system, which costs more than the texts; there the tasks
+    write the files themselves, under names made of text and task, so that a task run again writes the same files.
+    """
+    base = local_path(df.sparkSession, path)
+    if base is None:
+        df.select(*folders, content).write.partitionBy(*folders).option("maxRecordsPerFile", 1).text(path)
+        return
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), Counter()
+        for b in batches:
+            for *values, text in zip(*(b.column(c).to_pylist() for c in (*folders, content))):
+                steps = [re.sub("[\x00-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]", lambda m: f"%{ord(m[0]):02X}", v or "__HIVE_DEFAULT_PARTITION__") for v in values]
+                folder = os.path.join(base, *[f"{c}={v}" for c, v in zip(folders, steps)])
+                data = (text or "").encode() + b"\n"
+                name = f"part-{md5(data).hexdigest()}-{part}"
+                seen[folder, name] += 1
+                name = f"{name}-{seen[folder, name]}.txt"
+                os.makedirs(folder, exist_ok=True)
+                own = os.path.join(folder, f".{name}-{TaskContext.get().taskAttemptId()}")
+                with open(own, "wb") as f:
+                    f.write(data)
+                os.replace(own, os.path.join(folder, name))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["files"])
+
+    df.select(*[F.col(c).cast("string").alias(c) for c in folders], content).mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
 def new_sections(sections: DataFrame, indexed: DataFrame, max_documents: int | None = None) -> DataFrame:
     """Sections of documents that are not indexed yet, the longest documents first, one row per id."""
     fresh = sections.join(indexed.select("document_id").distinct(), "document_id", "left_anti")

@@ -38,6 +38,25 @@ def test_missing_root_stops_the_run(spark, tmp_path):
         catalog.list_files(spark, {**tree(tmp_path), "R2": str(tmp_path / "nowhere")})
 
 
+def test_files_are_written_and_listed_in_tasks(spark, tmp_path):
+    rows = [(1, "a", "x"), (1, "a", "x"), (1, "b=/", "é"), (2, None, None)]
+    df = spark.createDataFrame(rows, "proj int, page string, html string").repartition(2)
+    sinks.write_files(df, f"file:{tmp_path}/files", ["proj", "page"], "html")
+    (tmp_path / "files/.hidden").mkdir()
+    (tmp_path / "files/.hidden/x.txt").write_text("x")
+    (tmp_path / "files/_SUCCESS").write_text("")
+    got = catalog.list_files(spark, {"R": f"file:{tmp_path}/files", "S": str(tmp_path / "files/proj=2")})
+    assert got.inputFiles() == []  # no index of the files on the driver
+    folder = F.regexp_replace("relative_path", "/?part-[^/]*$", "")
+    assert sorted(tuple(r) for r in got.select("source_root_id", folder, "file_size").collect()) == [
+        ("R", "proj=1/page=a", 2), ("R", "proj=1/page=a", 2), ("R", "proj=1/page=b%3D%2F", 3), ("R", "proj=2/page=__HIVE_DEFAULT_PARTITION__", 1),
+        ("S", "page=__HIVE_DEFAULT_PARTITION__", 1)]
+    by_spark = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{tmp_path}/files")
+    name = F.element_at(F.split("path", "/files/"), -1)
+    want = sorted(tuple(r) for r in by_spark.select(name, "length", "modificationTime").collect())
+    assert sorted(tuple(r) for r in got.filter("source_root_id = 'R'").select("relative_path", "file_size", "file_mtime").collect()) == want
+
+
 def test_plugin_decoder_keeps_failures(spark):
     docs = spark.createDataFrame([("d1", "h1", "ok"), ("d2", "h2", "bad"), ("d3", "h1", "ok")], "document_id string, sha256 string, content string")
     known = spark.createDataFrame([], "sha256 string, parser_name string, parser_version string")

@@ -11,7 +11,7 @@ from docketlens.functions import text as tx
 from docketlens.operators import classify, identity, near_copies, sections
 from docketlens.plans import batches
 from docketlens.session import checkpoint_dir, cut_lineage
-from docketlens.sources import artifacts as art, catalog, compare
+from docketlens.sources import artifacts as art, catalog, compare, sinks
 from docketlens.streaming import catalog_stream
 from workload import views as v
 from workload.registry import query
@@ -344,7 +344,7 @@ FROM pages""")
 def files_listed_and_streamed(spark, sf):
     """One file per page, listed from its folder; listings arrive in two lots (even pages, then all) and a third run finds nothing new."""
     base = f"{checkpoint_dir(spark)}/listing-{uuid4().hex}"
-    v.read(spark, sf, "pages").select((F.col("page_id") % 5).alias("proj"), F.col("page_id").alias("page"), "html").write.partitionBy("proj", "page").text(f"{base}/files")
+    sinks.write_files(v.read(spark, sf, "pages").select((F.col("page_id") % 5).alias("proj"), F.col("page_id").alias("page"), "html"), f"{base}/files", ["proj", "page"], "html")
     page = F.regexp_extract("relative_path", "page=([0-9]+)", 1)
     found = cut_lineage(catalog.list_files(spark, {"R": f"{base}/files"}))
     for lot in (found.filter(page.cast("long") % 2 == 0), found, None):
