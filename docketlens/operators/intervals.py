@@ -45,8 +45,9 @@ def _point_nodes(no: Column, levels: int) -> Column:
 
 def _placed(points: DataFrame, ranges: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Distinct points (keys, value, level, node) and ranges (keys, low, high, level, node). NULL keys match nothing."""
-    p = points.select(*keys, "value").filter("value IS NOT NULL").distinct()
-    r = ranges.select(*keys, "low", "high").filter("low IS NOT NULL").distinct()
+    # Numbering and placing both read them: made once.
+    p = cut_lineage(points.select(*keys, "value").filter("value IS NOT NULL").distinct())
+    r = cut_lineage(ranges.select(*keys, "low", "high").filter("low IS NOT NULL").distinct())
     table, n = _numbered(p.select("value").union(r.select("low")).union(r.select("high")))
     levels = max(1, n).bit_length()
     low = table.select(F.col("value").alias("low"), F.col("no").alias("low_no"))

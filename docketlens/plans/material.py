@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docketlens import rules
 from docketlens.functions import text as tx
 from docketlens.operators import intervals
+from docketlens.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -150,10 +151,12 @@ def covering_facts(facts: DataFrame, questions: DataFrame) -> DataFrame:
 def covering_counts(facts: DataFrame, questions: DataFrame, key: str) -> DataFrame:
     """(question_id, facts, first): how many range facts cover each question, and the smallest ``key`` among them.
 
-    Facts are counted per type and range first, so no fact meets a question.
+    Facts are counted per type and value, then per type and range first, so no fact meets a question.
     """
     asked = asked_periods(questions)
-    ranges = fact_ranges(facts).groupBy("fact_type", "low", "high").agg(F.count("*").alias("facts"), F.min(key).alias("first"))
+    values = facts.groupBy("fact_type", "fact_value").agg(F.count("*").alias("facts"), F.min(key).alias("first"))
+    # Read several times below: made once.
+    ranges = cut_lineage(fact_ranges(values).groupBy("fact_type", "low", "high").agg(F.sum("facts").alias("facts"), F.min("first").alias("first")))
     sums = intervals.stab_sums(asked, ranges, ["fact_type"], "facts", "first")
     return asked.join(sums, ["fact_type", "value"]).select("question_id", F.col("n").alias("facts"), F.col("least").alias("first"))
 

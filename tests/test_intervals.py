@@ -50,6 +50,21 @@ def test_covering_facts_any_year_and_precision(spark):
     assert counts == {i: (sum(n for (a, _), n in want.items() if a == i), min(e for a, e in want if a == i)) for i in {a for a, _ in want}}
 
 
+def test_covering_counts_makes_the_facts_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def value(i):
+        made.add(1)
+        return ["2024-01~2024-06", "2023-05~", " 2024-01~2024-06"][i % 3]
+
+    # A value of its own for the optimizer: it would be made again for a filter.
+    facts = spark.range(60).select(F.col("id").alias("event_id"), F.lit("t").alias("fact_type"), value.asNondeterministic()("id").alias("fact_value"))
+    q = spark.createDataFrame([(1, "t", "2024-03"), (2, "t", "2030")], "question_id int, fact_type string, period string")
+    assert {r.question_id: (r.facts, r["first"]) for r in material.covering_counts(facts, q, "event_id").collect()} == {1: (60, 0), 2: (20, 1)}
+    assert made.value == 60
+
+
 def test_vectors_by_blocks(spark):
     rng = np.random.default_rng(2)
     vectors = rng.integers(-2, 3, (90, 4)).astype(float)
