@@ -48,6 +48,23 @@ def test_results_do_not_depend_on_partitions(spark):
     assert key(locate.locate_contracts(it.repartition(1), c, d, a, cond)) == key(locate.locate_contracts(it.repartition(7), c, d, a, cond))
 
 
+def test_locate_makes_the_lines_three_times(spark):
+    """For the vocabulary, for the sums with their evidence, and for which contracts have lines or excluded ones."""
+    rows = [("CTL-1", "代谢/a", 10, "detail"), ("CTL-1", "代谢/b", 20, "detail"), ("CTL-2", "代谢/a", 5, "detail"), ("CTL-2", "蛋白/a", 5, "detail"), ("CTL-3", "其它/a", 5, "detail")]
+    it, c, d, a = setup(spark, rows)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def same(text):
+        made.add(1)
+        return text
+
+    counted = it.withColumn("product_raw", same.asNondeterministic()("product_raw"))
+    got = locate.locate_contracts(counted, c, d, a, locate.LocateCondition(("代谢",), product_exclude=("蛋白",))).collect()
+    assert sorted((r["contract_id"], r["product"], r["amount"], r["detail_evidence"]) for r in got) == [("CTL-1", "代谢", 30.0, "row0；row1"), ("CTL-9", "", None, "")]
+    assert made.value <= 3 * len(rows)
+
+
 def test_evidence_text_cut(spark):
     it = items(spark, [("CTL-1", "x/y", 1, "detail")] * 300)
     got = amounts.evidence_text(it, ["contract_id"]).first()["detail_evidence"]
