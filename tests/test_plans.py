@@ -121,6 +121,26 @@ def test_cjk_tokens(spark):
     assert df.select(ranking.tokens("t")).first()[0] == ["售后", "后服", "服务", "plan", "b", "7", "天", "ab"]
 
 
+def test_bm25_cuts_a_text_into_tokens_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def same(text):
+        made.add(1)
+        return text
+
+    rows = [("S1", "alpha", "alpha beta", "content_section"), ("S2", None, "beta beta", "content_section"), ("S3", "", "beta", "toc_entry"), ("S4", "x", "", "content_section")]
+    sections = spark.createDataFrame(rows, "section_id string, heading string, t string, structural_role string").withColumn("section_text", same.asNondeterministic()("t")).drop("t")
+    got = {r.section_id: r.score for r in ranking.bm25(sections, spark.createDataFrame([("q", "alpha beta")], "query_id string, query_text string"), 3.0, False).collect()}
+    import math
+    idf = lambda n, df: math.log(1 + (n - df + 0.5) / (df + 0.5))
+    part = lambda tf, n, avg: tf / (tf + 1.2 * (0.25 + 0.75 * n / avg))
+    text = 5 / 3
+    want = {"S1": 3 * idf(2, 1) * part(1, 1, 1) + idf(3, 1) * part(1, 2, text) + idf(3, 3) * part(1, 2, text), "S2": idf(3, 3) * part(2, 2, text)}
+    assert got == {k: round(x, 6) for k, x in want.items()}
+    assert made.value == len(rows)
+
+
 def test_claim_fold_is_order_independent(spark):
     rows = [(f"LEDGER-{i}", i % 3, "甲" if i % 2 else "乙", None, "同一声明" if i % 2 else "", f"p{i}/f", f"d{i}") for i in range(20)]
     df = spark.createDataFrame(rows, "contract_id string, ordinal int, party_a string, total_amount double, evidence_text string, relative_path string, document_id string")
