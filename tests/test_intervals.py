@@ -85,3 +85,18 @@ def test_vectors_by_blocks(spark):
             got.setdefault(r.query_id, []).append((r.vec_id, r.score))
         assert got == want
     assert ranking.nearest_vectors(df, q.limit(0)).count() == 0 and ranking.nearest_vectors(df.limit(0), q).count() == 0
+
+
+def test_a_block_of_vectors_is_scored_in_small_slices():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    vectors = pa.array(np.random.default_rng(3).normal(size=(ranking.VECTOR_BLOCK, 4)).tolist(), pa.list_(pa.float32()))
+    ids = pa.array(range(len(vectors)), pa.int64())
+    tracemalloc.start()
+    got = ranking._best_of_block(3)(pa.table({"query_id": ids[:256], "vector": vectors[:256]}), pa.table({"vec_id": ids, "vector": vectors}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 256 * 3 and got["vec_id"].to_pylist()[::3] == list(range(256))
+    assert peak < 40 << 20
