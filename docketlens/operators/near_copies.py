@@ -9,6 +9,10 @@ Links are found in two steps. Each member of a band first meets the smallest mem
 are still in different components meet, bands of many members in pairs of blocks. So no candidate is left
 out, and a group of near copies does not emit all its pairs.
 
+Long strangers of one language come close to the threshold: each is a candidate with very many others. Candidates between
+such nodes first meet on odd sketches, in pairs of blocks. A bit of an odd sketch is the parity of the shingles on it, so two
+sketches differ in no more bits than the sets have different shingles: what this drops cannot be a link.
+
 Defined results:
 
 * Texts without a letter or digit are near nothing; each such row is a cluster of its own.
@@ -21,6 +25,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +37,11 @@ from docketlens.session import checked_broadcast, cut_lineage
 
 BANDS, BAND_ROWS = 60, 8
 SKETCH_WORDS, SKETCH_BITS_APART = 7, 77
-BLOCK = 2048
+BLOCK, SMALL_BAND = 2048, 32
 HOT_LINKS = 256
+DENSE_LINKS = 32
+ODD_BLOCK, ODD_BLOCKS, ODD_BITS = 8192, 8, 1 << 15
+WANTED_ROWS = 1_000_000
 _PART = 128
 
 
@@ -114,6 +122,88 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["row", "raw", "node", "keys", *_SKETCH])
 
 
+def odd_sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the shingles on each bit; four bits a shingle at least, up to ``ODD_BITS``. Its halves, combined by XOR, are the sketch of half the bits."""
+    bits = min(max(64, 1 << (4 * len(shingles) - 1).bit_length()), ODD_BITS)
+    at = (_mixed(shingles) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+class _OddBlock:
+    """The odd sketches of some nodes."""
+
+    def __init__(self, nodes: np.ndarray, sizes: np.ndarray, sketches: list[bytes]):
+        order = np.argsort(nodes)
+        self.nodes, self.sizes = nodes[order], sizes[order]
+        self.words = np.array([len(sketches[i]) // 8 for i in order])
+        self.row, self.held = np.zeros(len(order), np.int64), {}
+        for w in np.unique(self.words).tolist():
+            of = np.flatnonzero(self.words == w)
+            self.row[of] = np.arange(len(of))
+            self.held[w] = np.frombuffer(b"".join(sketches[order[i]] for i in of), np.uint64).reshape(-1, w)
+
+    def _folded(self, of: np.ndarray, words: int, to: int) -> np.ndarray:
+        return np.bitwise_xor.reduce(self.held[words][self.row[of]].reshape(len(of), -1, to), axis=1)
+
+    def may_link(self, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+        """False only where the shingle sets of a and b cannot overlap enough."""
+        x, y = np.searchsorted(self.nodes, a), np.searchsorted(self.nodes, b)
+        total, most = self.sizes[x] + self.sizes[y], np.minimum(self.sizes[x], self.sizes[y])
+        kept = most >= (total - most) * threshold
+        for wx, wy in {*zip(self.words[x[kept]].tolist(), self.words[y[kept]].tolist())}:
+            of = np.flatnonzero(kept & (self.words[x] == wx) & (self.words[y] == wy))
+            for i in range(0, len(of), 1024):
+                at, w = of[i:i + 1024], min(wx, wy)
+                apart = np.bitwise_count(self._folded(x[at], wx, w) ^ self._folded(y[at], wy, w)).sum(axis=1, dtype=np.int64)
+                most[at] = np.minimum(most[at], (total[at] - apart) // 2)
+        return most >= (total - most) * threshold
+
+
+def _runs(columns: list[np.ndarray]) -> list[int]:
+    """Where runs of equal values in all columns begin, and the end."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return [0, *np.flatnonzero(new).tolist(), len(new)]
+
+
+def _thinned(pairs: DataFrame, have: DataFrame, blocks: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) that may be links by the odd sketches of ``have`` (node, n, odd), which has both nodes of each pair."""
+    def block(node: str):
+        return F.pmod(F.xxhash64(node), F.lit(blocks)).cast("int")
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    sketches = have.withColumn("at", block("node")).withColumn("other", every).select(
+        F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "n", "odd")
+    dealt = pairs.select(F.least(block("a"), block("b")).alias("i"), F.greatest(block("a"), block("b")).alias("j"), "a", "b",
+                         F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("odd"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The sketches of a pair of blocks stand before its pairs.
+        at, parts, held = None, [], None
+        for batch in batches:
+            i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
+            paired = batch.column("b").is_valid().to_numpy(zero_copy_only=False)
+            cuts = _runs([i, j, paired])
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                if (i[lo], j[lo]) != at:
+                    at, parts, held = (i[lo], j[lo]), [], None
+                run = batch.slice(lo, hi - lo)
+                if not paired[lo]:
+                    parts.append((run.column("a").to_numpy(), run.column("n").to_numpy(), run.column("odd").to_pylist()))
+                    continue
+                if held is None:
+                    held = _OddBlock(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), [o for p in parts for o in p[2]])
+                    parts = []
+                near = held.may_link(run.column("a").to_numpy(), run.column("b").to_numpy(), threshold)
+                yield run.select(["a", "b"]).filter(pa.array(near))
+
+    return (sketches.union(dealt).repartition("i", "j").sortWithinPartitions("i", "j", F.col("b").isNotNull())
+            .mapInArrow(meet, "a long, b long"))
+
+
 def _named(sketches: DataFrame, node: str) -> DataFrame:
     return sketches.select(F.col("node").alias(node), *[F.col(c).alias(f"{node}_{c}") for c in _SKETCH])
 
@@ -125,17 +215,96 @@ def _close(a: str, b: str):
     return apart <= SKETCH_BITS_APART
 
 
+def _met(held: DataFrame) -> DataFrame:
+    """The close pairs (a, b), a < b, of each band whose roots differ; a pair may come more than once. A band's blocks meet in pairs."""
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    columns = ["key", "i", "j", "block", "node", "root", *_SKETCH]
+    dealt = held.withColumn("other", every).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select(columns)
+
+    def close(group: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+        node, root, block, sketch = group["node"], group["root"], group["block"], group["sketch"]
+        i, j = group["i"][0], group["j"][0]
+        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        step = max(1, (1 << 18) // max(1, len(y)))
+        for lo in range(0, len(x), step):
+            part = x[lo:lo + step]
+            apart = np.zeros((len(part), len(y)), np.uint16)
+            for w in range(SKETCH_WORDS):
+                apart += np.bitwise_count(sketch[w][part][:, None] ^ sketch[w][y][None, :])
+            near = (apart <= SKETCH_BITS_APART) & (root[part][:, None] != root[y][None, :])
+            if i == j:
+                near &= node[part][:, None] < node[y][None, :]
+            p, q = np.nonzero(near)
+            if len(p):
+                p, q = node[part[p]], node[y[q]]
+                yield np.stack([np.minimum(p, q), np.maximum(p, q)])
+
+    def alike(now: dict[str, np.ndarray], starts: np.ndarray, size: int) -> Iterator[np.ndarray]:
+        # Bands of one size at once.
+        p, q = np.triu_indices(size, 1)
+        step = max(1, (1 << 18) // len(p))
+        for lo in range(0, len(starts), step):
+            x, y = (starts[lo:lo + step, None] + p).ravel(), (starts[lo:lo + step, None] + q).ravel()
+            apart_roots = now["root"][x] != now["root"][y]
+            x, y = x[apart_roots], y[apart_roots]
+            near = np.bitwise_count(now["sketch"][:, x] ^ now["sketch"][:, y]).sum(axis=0, dtype=np.uint16) <= SKETCH_BITS_APART
+            p_node, q_node = now["node"][x[near]], now["node"][y[near]]
+            yield np.stack([np.minimum(p_node, q_node), np.maximum(p_node, q_node)])
+
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        rest, found = None, []
+        for batch in chain(batches, [None]):
+            if batch is None:
+                if rest is None:
+                    break
+                now, last = rest, True
+            else:
+                now = {c: batch.column(c).to_numpy() for c in columns[:6]} | {"sketch": np.stack([batch.column(c).to_numpy().view(np.uint64) for c in _SKETCH])}
+                now, last = (now if rest is None else {c: np.concatenate([rest[c], now[c]], axis=-1) for c in now}), False
+            cuts = np.array(_runs([now["key"], now["i"], now["j"]]))
+            ends = cuts if last else cuts[:-1]
+            size, single = np.diff(ends), (now["i"] == now["j"])[ends[:-1]]
+            small = (size <= SMALL_BAND) & single
+            for g in np.unique(size[small & (size > 1)]).tolist():
+                found += alike(now, ends[:-1][small & (size == g)], g)
+            for at in np.flatnonzero(~small).tolist():
+                found += close({c: v[..., ends[at]:ends[at + 1]] for c, v in now.items()})
+                if sum(x.shape[1] for x in found) > 1 << 16:
+                    yield out(found)
+                    found = []
+            rest = {c: v[..., ends[-1]:] for c, v in now.items()}
+        yield out(found)
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(pairs_of, "a long, b long")
+
+
 def _checked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose exact shingle sets overlap enough; ``texts`` is (raw, text), copies allowed."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = [packed(shingle_set(normal_codes(t))) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(held, pa.binary())], names=["node", "shingles"])
+            held = [shingle_set(normal_codes(t)) for t in b.column("text").to_pylist()]
+            odd = [odd_sketch(x) if d else None for x, d in zip(held, b.column("dense").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([packed(x) for x in held], pa.binary()), pa.array([len(x) for x in held], pa.int64()),
+                                              pa.array(odd, pa.binary())], names=["node", "shingles", "n", "odd"])
 
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     wanted = cut_lineage(nodes.select("node", "raw").join(used, "node"))
-    have = cut_lineage(texts.join(checked_broadcast(wanted.select("raw")), "raw", "left_semi").dropDuplicates(["raw"]).join(wanted, "raw").select("node", "text")
-                       .mapInArrow(sets, "node long, shingles binary"))
+    # A sketch goes once to each block, so a node with fewer links than that is checked link by link.
+    blocks = max(ODD_BLOCKS, -(-wanted.count() // ODD_BLOCK))
+    wanted = wanted.withColumn("dense", F.col("links") >= max(DENSE_LINKS, 2 * blocks))
+    have = cut_lineage(texts.join(checked_broadcast(wanted.select("raw"), WANTED_ROWS), "raw", "left_semi").dropDuplicates(["raw"]).join(wanted, "raw")
+                       .select("node", "text", "dense").mapInArrow(sets, "node long, shingles binary, n long, odd binary"))
+    dense = wanted.filter("dense").select("node")
+    for node in ("a", "b"):
+        pairs = pairs.join(checked_broadcast(dense.select(F.col("node").alias(node), F.lit(True).alias(f"{node}_dense"))), node, "left")
+    both_dense = F.coalesce(F.col("a_dense") & F.col("b_dense"), F.lit(False))
+    pairs = cut_lineage(_thinned(pairs.filter(both_dense), have.filter("odd IS NOT NULL").select("node", "n", "odd"), blocks, threshold)
+                        .union(pairs.filter(~both_dense).select("a", "b")))
+    have = have.select("node", "shingles")
 
     def with_set(df: DataFrame, node: str, other: str) -> DataFrame:
         # A node with very many links stands in several copies, each for a part of them.
@@ -188,17 +357,7 @@ def clusters(docs: DataFrame, threshold: float = rules.DUPLICATE_THRESHOLD) -> D
     mixed = rooted.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most AND n > 2")
     open_bands = cut_lineage(rooted.join(mixed.select("key", F.ceil(F.col("n") / F.lit(BLOCK)).alias("blocks")), "key")
                              .withColumn("block", F.pmod(F.xxhash64("node"), "blocks")))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    held = open_bands.join(sketches, "node")
-
-    def side(node: str, block: str, other: str) -> DataFrame:
-        return held.select("key", F.col("block").alias(block), every.alias(other), F.col("node").alias(node), F.col("root").alias(f"{node}_root"),
-                           *[F.col(c).alias(f"{node}_{c}") for c in _SKETCH])
-
-    left, right = side("x", "i", "j").alias("l"), side("y", "j", "i").alias("r")
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "i", "j")]
-    met = left.join(right, [*same, F.col("x_root") < F.col("y_root"), _close("x", "y")])
-    second = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    second = _met(open_bands.join(sketches, "node")).distinct().join(first, ["a", "b"], "left_anti")
     roots = stars(links.union(_checked(cut_lineage(second), nodes, texts, threshold)))
 
     whole = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(

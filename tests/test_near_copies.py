@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from docketlens.operators import identity, near_copies
@@ -53,6 +54,52 @@ def test_clusters_cover_the_whole_table(spark, rows, block, monkeypatch):
     assert near_copies.clusters(df.limit(0)).count() == 0
 
 
+def test_odd_sketches_drop_no_link():
+    rnd = random.Random(3)
+    sets = []
+    for size in (1, 3, 30, 900, 1100, 4000, 9000, 20000):
+        base = [rnd.getrandbits(62) for _ in range(size)]
+        sets += [np.unique(np.array(base[:k] + [rnd.getrandbits(62) for _ in range(m)], "u8")) for k, m in ((size, 0), (size - size // 10, 0), (size, size // 6), (size, size // 4), (size, size))]
+    block = near_copies._OddBlock(np.arange(len(sets))[::-1] - 5, np.array([len(x) for x in sets]), [near_copies.odd_sketch(x) for x in sets])
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a)]
+    a, b = np.array(pairs).T
+    may = block.may_link(len(sets) - 6 - a, len(sets) - 6 - b, 0.75)
+    for (x, y), kept in zip(pairs, may):
+        n = len(np.intersect1d(sets[x], sets[y]))
+        assert kept or n < 0.75 * (len(sets[x]) + len(sets[y]) - n)
+    assert may.sum() < 0.1 * len(pairs)
+
+
+def test_strangers_near_the_threshold_are_dropped_before_the_exact_check(spark, monkeypatch):
+    rnd = random.Random(7)
+    made = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    shared = made(800)
+    texts = [shared + made(210) for _ in range(60)]  # any two at 0.66
+    texts += [texts[0] + "zz", texts[1] + "yy", texts[2][:700] + texts[3][700:]]
+    rows = [(i, len(t), t) for i, t in enumerate(texts)]
+    checks, cut = [], near_copies.cut_lineage
+
+    def seen(df):
+        df = cut(df)
+        checks.extend([df.count()] if df.columns == ["a", "b"] else [])
+        return df
+
+    monkeypatch.setattr(near_copies, "cut_lineage", seen)
+    monkeypatch.setattr(near_copies, "DENSE_LINKS", 8)
+    df = spark.createDataFrame(rows, "doc_id long, n_chars long, text string").repartition(3)
+    assert Counter(map(tuple, near_copies.clusters(df).collect())) == brute(rows)
+    # Candidates, those left for the exact check and links of both steps.
+    assert len(checks) == 6 and checks[3] > 500 and checks[4] < 100, checks
+
+
+@pytest.mark.parametrize("small, blocks", [(32, 8), (2, 1), (2, 3)])
+def test_dense_candidates_in_any_blocks(spark, rows, small, blocks, monkeypatch):
+    for name, value in (("BLOCK", 8), ("SMALL_BAND", small), ("DENSE_LINKS", 2), ("ODD_BLOCKS", blocks)):
+        monkeypatch.setattr(near_copies, name, value)
+    df = spark.createDataFrame(rows, "doc_id long, n_chars long, text string").repartition(5)
+    assert Counter(map(tuple, near_copies.clusters(df).collect())) == brute(rows)
+
+
 def test_query_joins_copies_of_all_sources(spark, tmp_path):
     load()
     text = "the same sentence stands in many sources and at every rank of its source " * 3
