@@ -42,7 +42,7 @@ HOT_LINKS = 256
 DENSE_LINKS = 32
 ODD_BLOCK, ODD_BLOCKS, ODD_BITS = 8192, 8, 1 << 15
 WANTED_ROWS = 1_000_000
-_PART = 128
+_PART = 1 << 17
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -52,8 +52,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 _SEEDS = _mixed(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_FACTOR = (_SEEDS[::2] | np.uint64(1)).astype(np.uint32)
-_OFFSET = _SEEDS[1::2].astype(np.uint32)
+_FACTOR = (_SEEDS[::2] | np.uint64(1)).astype(np.uint32)[:, None]
+_OFFSET = _SEEDS[1::2].astype(np.uint32)[:, None]
 
 
 _KEPT = np.zeros(1 << 16, bool)
@@ -90,12 +90,14 @@ def _signed(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, sketch words) of one shingle set."""
     x = _mixed(shingles).astype(np.uint32)
     low = np.full(len(_FACTOR), 0xFFFFFFFF, np.uint32)
-    held = np.empty((min(len(x), _PART), len(_FACTOR)), np.uint32)
-    for at in range(0, len(x), _PART):
-        part = x[at:at + _PART, None]
-        h = np.multiply(part, _FACTOR, out=held[:len(part)])
-        h += _OFFSET
-        np.minimum(low, h.min(axis=0), out=low)
+    for lo in range(0, len(x), _PART // 8):
+        part = x[lo:lo + _PART // 8]
+        step = min(len(low), _PART // len(part))
+        held = np.empty((step, len(part)), np.uint32)
+        for at in range(0, len(low), step):
+            h = np.multiply(part, _FACTOR[at:at + step], out=held[:len(low) - at])
+            h += _OFFSET[at:at + step]
+            np.minimum(low[at:at + step], h.min(axis=1), out=low[at:at + step])
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
     for r in range(BAND_ROWS):
         keys = _mixed(keys * np.uint64(0x9E3779B97F4A7C15) + low[r::BAND_ROWS][:BANDS])
