@@ -72,6 +72,12 @@ def test_sections(spark):
     assert rep == ["页眉行"]
 
 
+def test_an_address_at_the_start_of_a_line_tells_no_level(spark):
+    cases = {"28.68.191.238 Den schüsch": 2, "12.34.56.78 Oring": 2, "36.128.82.53 Ount": 2, "1.2 a": 2, "3.1.4 b": 3, "1.2.3.4 c": 4, "11.2.10.3 d": 4, "1.1.2024.5 e": 3}
+    for line, level in cases.items():
+        assert one(spark, line, sections.heading_level(F.col("text"))) == level, line
+
+
 def test_time_slots(spark):
     cases = {
         "1小时内响应，4小时内到场": [("响应", 60.0), ("到场", 240.0)],
